@@ -10,6 +10,7 @@ from ..sources.testmap import Tables, facts, rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_SUBJECTS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, bare: bool = False):
@@ -21,10 +22,16 @@ def query(name: str, sql: str | None = None, bare: bool = False):
         if name in QUERIES:
             raise ValueError(f"duplicate query name: {name}")
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        _SUBJECTS[name] = build.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             ORACLES[name] = sql if bare else facts(sql)
         return build
     return register
 
 
+def subject_of(name: str) -> str:
+    """Subject module a query was registered by."""
+    return _SUBJECTS[name]
+
+
 __all__ = ["QUERIES", "ORACLES", "query", "rounded", "Tables"]

@@ -84,6 +84,7 @@ def compare(spark_df, con, sql) -> list[str]:
 def main() -> int:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
+    from tallygrid.plans.registry import subject_of
     from tallygrid.session import local_session
 
     parser = argparse.ArgumentParser()
@@ -94,8 +95,7 @@ def main() -> int:
     spark = local_session("oracle")
     queries, oracles = entry.queries(), entry.oracle_sql()
     if args.module:
-        names = [n for n, q in queries.items()
-                 if q.__closure__[0].cell_contents.__module__.endswith(args.module)]
+        names = [n for n, q in queries.items() if subject_of(n) == args.module]
     else:
         names = args.names or list(queries)
     con = connect(folder(args.scale))
