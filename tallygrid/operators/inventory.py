@@ -340,7 +340,7 @@ def at_risk_60_90(sales: DataFrame, products: DataFrame, as_of=None) -> DataFram
 
 def never_sold_since(sales: DataFrame, products: DataFrame, days: int = 90, as_of=None) -> DataFrame:
     """Products with no order after the cutoff."""
-    recent = sales.where(F.col("order_date") >= days_before(anchor(sales, as_of), days)).select("product_id")
+    recent = sales.where(F.col("order_date") >= days_before(anchor(sales, as_of), days)).select("product_id").distinct()
     return products.join(recent, "product_id", "left_anti").select("product_id", "product_name", "category")
 
 

@@ -20,6 +20,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+LAST_ROWS = [0]
+
+
 def folder(scale: str) -> str:
     return f"/root/testdata/sf{scale}"
 
@@ -62,6 +65,7 @@ def compare(spark_df, con, sql) -> list[str]:
     names, got = rows_of(spark_df.columns, spark_df.collect())
     cursor = con.execute(sql)
     want_names, want = rows_of([d[0] for d in cursor.description], cursor.fetchall())
+    LAST_ROWS[0] = len(got)
     problems = []
     if names != want_names:
         return [f"columns differ: {names} vs {want_names}"]
@@ -106,9 +110,9 @@ def main() -> int:
             frame = queries[name](spark, folder(args.scale))
             if name in oracles:
                 problems = compare(frame, con, oracles[name])
-                note = "ok"
+                note = f"ok {LAST_ROWS[0]} rows"
             else:
-                problems, note = [], f"rows only: {len(frame.collect())}"
+                problems, note = [], f"rows only: {frame.count()}"
         except Exception as error:  # noqa: BLE001 - report every failure
             problems, note = [f"{type(error).__name__}: {str(error)[:700]}"], ""
         took = time.time() - start
