@@ -126,7 +126,7 @@ def forecast_seasonal_ar(history: DataFrame, steps: int = 13, weekly: bool = Tru
     seasonal = tuple(seasonal or (WEEKLY_SEASONAL if weekly else DAILY_SEASONAL))
     name, days = "seasonal_ar", 7 if weekly else 1
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         try:
             model = seasonal_ar_fit(pdf["y"].to_numpy(float), order, seasonal)
@@ -143,7 +143,7 @@ def seasonal_ar_residuals(history: DataFrame, weekly: bool = True) -> DataFrame:
     schema = T.StructType([T.StructField("series_id", history.schema["series_id"].dataType),
                            T.StructField("ds", T.DateType()), T.StructField("residual", T.DoubleType())])
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         try:
             residuals = seasonal_ar_fit(pdf["y"].to_numpy(float), order, seasonal)["residuals"]
@@ -227,7 +227,7 @@ def forecast_decomposable(history: DataFrame, steps: int = 13, weekly: bool = Tr
     name, gap = "decomposable", 7 if weekly else 1
     schema = _forecast_schema(history, *COMPONENTS)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         days = pd.to_datetime(pdf["ds"]).to_numpy().astype("datetime64[D]").astype(float)
         y = pdf["y"].to_numpy(float)

@@ -100,6 +100,22 @@ def predict_demand(history: DataFrame, horizon: int = 30, method: str = "auto")
     return methods[method](history, horizon=horizon).select("series_id", "model", "step", "ds", "forecast")
 
 
+def forecast_all_simple(history: DataFrame, horizon: int = 30, band: float | None = None) -> DataFrame:
+    """All three methods from one fit, in one long table, with a relative band if given."""
+    n, line = F.col("n"), F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))
+    values = ((MOVING_AVERAGE, 7, F.col("trailing")), (SMOOTHING, 7, F.col("level")),
+              (LINEAR, 14, F.greatest(line, F.lit(0.0))))
+    models = F.array(*[F.when(n >= least, F.struct(F.lit(name).alias("model"), rnd(value, 2).alias("forecast")))
+                       for name, least, value in values])
+    long = (_ahead(fit_simple(history), horizon)
+            .select("series_id", "step", "ds", F.explode(F.filter(models, lambda m: m.isNotNull())).alias("m"))
+            .select("series_id", "m.model", "step", "ds", "m.forecast"))
+    if band is None:
+        return long
+    return long.select("*", rnd(F.col("forecast") * (1 - band), 2).alias("lower"),
+                       rnd(F.col("forecast") * (1 + band), 2).alias("upper"))
+
+
 def forecast_totals(forecast: DataFrame) -> DataFrame:
     return forecast.groupBy("series_id", "model").agg(
         F.count(F.lit(1)).alias("days"), money(F.sum("forecast")).alias("total_forecast"))

@@ -16,6 +16,15 @@ from ..functions.columns import _col
 from ..session import ensure_checkpoint_dir
 
 
+def materialise(frame: DataFrame) -> DataFrame:
+    """Write a small derived table once, so the branches that read it do not each scan the facts.
+
+    A reliable checkpoint on shared storage: it survives the loss of executors.
+    """
+    ensure_checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint(eager=True)
+
+
 def with_running(frame: DataFrame, order_by: Sequence[Column | str], position: str | None = "position",
                  totals: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
     """Add a global 1-based row position and inclusive running sums.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from ..operators import customers, demand, ensemble as ops, fleet, forecast, pareto
+from ..operators.ordered import materialise
 from .customers import _scores
 from .registry import query, rounded as R
 
@@ -17,21 +18,22 @@ _NAMES = [forecast.MOVING_AVERAGE, forecast.SMOOTHING, forecast.LINEAR]
 _PERIODS = 8
 
 
-def weekly(t):
-    """Dense weekly demand per category."""
-    return demand.demand_weekly(t.sales, t.catalog)
+def weekly(t, keep_zero=True):
+    """Weekly demand per category, written once: every member and the weights read it."""
+    return materialise(demand.demand_weekly(t.sales, t.catalog, keep_zero))
 
 
 def _simple(train, horizon=_PERIODS):
     """The three closed-form members with a fixed relative band."""
-    value = F.col("forecast")
-    members = [forecast.predict_demand(train, horizon, m) for m in _NAMES]
-    long = members[0].unionByName(members[1]).unionByName(members[2])
-    return long.select("*", rnd(value * 0.8, 2).alias("lower"), rnd(value * 1.2, 2).alias("upper"))
+    return forecast.forecast_all_simple(train, horizon, 0.2)
 
 
 def _pairs(t):
-    return ops.holdout_pairs(weekly(t), _simple, _PERIODS)
+    return _holdout(weekly(t))
+
+
+def _holdout(history):
+    return materialise(ops.holdout_pairs(history, _simple, _PERIODS))
 
 
 _WEEKLY = """
@@ -71,6 +73,14 @@ def _weights(t):
     return ops.ensemble_weights(_pairs(t), _NAMES)
 
 
+def _combined(history):
+    return ops.ensemble_forecast(_simple(history), ops.ensemble_weights(_holdout(history), _NAMES))
+
+
+def _report(history):
+    return ops.weights_report(ops.ensemble_weights(_holdout(history), _NAMES), _NAMES, history)
+
+
 query("ensemble_weights", _WEIGHTS + f"""
   SELECT series_id, model, {R('smape', 4)} AS smape, {R('weight', 6)} AS weight FROM weights""")(
     lambda t: _weights(t).select("series_id", "model", rnd("smape", 4).alias("smape"), rnd("weight", 6).alias("weight")))
@@ -80,7 +90,7 @@ query("ensemble_forecast", _FULL + f"""
   SELECT series_id, step, ds, count(*) AS members, {R('sum(weight * forecast) / sum(weight)')} AS forecast,
          {R('sum(weight * lower) / sum(weight)')} AS lower, {R('sum(weight * upper) / sum(weight)')} AS upper
   FROM banded JOIN weights USING (series_id, model) GROUP BY 1, 2, 3""")(
-    lambda t: ops.ensemble_forecast(_simple(weekly(t)), _weights(t)).select(
+    lambda t: _combined(weekly(t)).select(
         "series_id", "step", "ds", "members", *[rnd(c, 2).alias(c) for c in ("forecast", "lower", "upper")]))
 query("ensemble_equal_average", _FULL + f"""
   SELECT series_id, step, ds, count(*) AS members, {R('avg(forecast)')} AS forecast, {R('avg(lower)')} AS lower,
@@ -93,7 +103,7 @@ query("ensemble_average_weights", _WEIGHTS + f"""
 query("ensemble_weights_report", _WEIGHTS + """
   SELECT series_id, (SELECT count(*) FROM whist h WHERE h.series_id = weights.series_id) AS data_points, """ + ", ".join(
     R(f"max(weight) FILTER (model = '{m}')", 4) + f" AS {m}_weight" for m in _NAMES) + ", 'success' AS status FROM weights GROUP BY 1")(
-    lambda t: ops.weights_report(_weights(t), _NAMES, weekly(t)))
+    lambda t: _report(weekly(t)))
 _COMPARE = _WEIGHTS + f""",
   ep AS (SELECT series_id, step, actual, sum(weight * predicted) / sum(weight) AS predicted
          FROM pairs JOIN weights USING (series_id, model) GROUP BY 1, 2, 3),
@@ -169,7 +179,7 @@ query("forecast_lag_regressor")(lambda t: _shown(fleet.forecast_lag_regressor(we
 
 
 def _fleet_ensemble(t):
-    history = ops.eligible(demand.demand_weekly(t.sales, t.catalog, keep_zero=False))
+    history = ops.eligible(weekly(t, keep_zero=False))
     pairs = ops.holdout_pairs(history, lambda train: fleet.all_members(train, _PERIODS), _PERIODS)
     weights = ops.ensemble_weights(pairs, fleet.MEMBERS)
     return ops.ensemble_forecast(fleet.all_members(history, 13), weights).select(
