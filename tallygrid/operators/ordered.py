@@ -117,36 +117,45 @@ def with_scalars(frame: DataFrame, summary: DataFrame) -> DataFrame:
     return frame.crossJoin(F.broadcast(summary))
 
 
-def chunk_rows_by_day(frame: DataFrame, keys: Sequence[str], moment: str, lookback: int,
+def chunk_rows_by_day(frame: DataFrame, keys: Sequence[str], moment: str, lookback: int = 0, lookahead: int = 0,
                       chunk_size: int = 2_000_000) -> DataFrame:
     """Split oversized keys into day-aligned chunks for row-offset windows.
 
-    Adds ``_chunk`` and ``_halo``. Windows partitioned by (keys, _chunk) see, as
-    halo rows, the days that hold the ``lookback`` rows before the chunk; drop
-    ``_halo`` rows after the window. A key under ``chunk_size`` rows is one
-    chunk. Needs lookback <= chunk_size.
+    Adds ``_chunk`` and ``_halo``. Windows partitioned by (keys, _chunk) also see,
+    as halo rows, the days that hold the ``lookback`` rows before the chunk and
+    the ``lookahead`` rows after it; drop ``_halo`` rows after the window. A key
+    under ``chunk_size`` rows is one chunk.
 
     Only keys above the limit appear in the day map, so it stays small, and the
     adaptive planner broadcasts it when its measured size allows.
     """
-    if lookback > chunk_size:
-        raise ValueError("lookback must not exceed chunk_size")
+    if max(lookback, lookahead) > chunk_size:
+        raise ValueError("lookback and lookahead must not exceed chunk_size")
     keys = list(keys)
     day = F.to_date(moment)
     per_day = frame.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     by_key = Window.partitionBy(*keys)
+    in_order = by_key.orderBy("_day")
     spans = per_day.select(
         "*", F.sum("_n").over(by_key).alias("_size"),
-        F.sum("_n").over(by_key.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)).alias("_end"))
+        F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"))
 
     def block(at: Column) -> Column:
         return F.floor(at / F.lit(chunk_size)).cast("long")
 
-    own = block(F.col("_end") - F.col("_n"))
-    later = F.array(block(F.col("_end")), block(F.col("_end") + F.lit(max(lookback - 1, 0))))
     hot = (spans.where(F.col("_size") > chunk_size)
-           .select(*keys, "_day", own.alias("_own"),
-                   F.array_distinct(F.concat(F.array(own), later)).alias("_chunks")))
+           .withColumn("_start", F.col("_end") - F.col("_n")).withColumn("_own", block(F.col("_start"))))
+    uses = [F.array("_own")]
+    if lookback:
+        # chunks of the rows that follow this day within the look-back
+        uses.append(F.array(block(F.col("_end")), block(F.col("_end") + F.lit(lookback - 1))))
+    if lookahead:
+        # chunks of the days that end within the look-ahead before this day
+        hot = hot.withColumn("_prior", F.lag("_own").over(in_order))
+        near = by_key.orderBy("_start").rangeBetween(1 - lookahead, 0)
+        hot = hot.withColumn("_ahead", F.collect_set("_prior").over(near))
+        uses.append(F.col("_ahead"))
+    hot = hot.select(*keys, "_day", "_own", F.array_distinct(F.concat(*uses)).alias("_chunks"))
     mapped = join_on(frame.withColumn("_day", day), hot, [*keys, "_day"], "left")
     exploded = mapped.withColumn(
         "_chunk", F.explode(F.coalesce("_chunks", F.array(F.lit(0).cast("long")))))
