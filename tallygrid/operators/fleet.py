@@ -175,7 +175,7 @@ def seasonal_ar_grid(history: DataFrame, period: int = 52, p: Sequence[int] = (0
     for name, values in (("p", p), ("d", d), ("q", q), ("sp", sp), ("sd", sd), ("sq", sq)):
         grid = grid.withColumn(name, axis(values))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def criterion(ys: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series, sp: pd.Series, sd: pd.Series,
                   sq: pd.Series) -> pd.Series:
         out = []

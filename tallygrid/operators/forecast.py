@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import anchor, days_before, money, rnd
 from .demand import indexed, split_last
@@ -172,7 +172,7 @@ def normal_equations(rows: DataFrame, features: Sequence[str], keys: Sequence[st
 
 def solve_line(p: int):
     """Pandas UDF: (means, covariances) to (intercept, coefficients...), in batches."""
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(means: pd.Series, covariances: pd.Series) -> pd.Series:
         upper = np.triu_indices(p + 1)
         out = []
