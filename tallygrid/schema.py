@@ -34,23 +34,30 @@ MOVEMENTS = _struct(
 
 AFFECTED_PRODUCT = _struct(("product_id", S), ("current_stock", I), ("reorder_threshold", I))
 
-# The payload of every event family, side by side; absent fields stay null.
-EVENT_DATA = _struct(
-    # orders
-    ("order_id", S), ("customer_id", S), ("product_id", S), ("quantity", I), ("total_amount", D),
-    ("status", S), ("seller_id", S),
-    # stock
-    ("product_name", S), ("previous_stock", I), ("current_stock", I), ("stock_change", I),
-    ("reorder_threshold", I), ("category", S),
-    # alerts
-    ("alert_level", S), ("alert_type", S), ("message", S), ("recommended_action", S),
-    ("affected_products", T.ArrayType(AFFECTED_PRODUCT)),
-    # forecasts
-    ("model_type", S), ("forecast_horizon", I), ("predicted_demand", D),
-    ("confidence_interval", _struct(("lower", D), ("upper", D))), ("accuracy_metrics", T.MapType(S, D)),
-    # analytics
-    ("metric_type", S), ("period", S), ("values", T.MapType(S, D)))
-
-EVENTS = _struct(
-    ("event_id", S), ("event_type", S), ("timestamp", TS), ("source", S), ("version", S),
-    ("data", EVENT_DATA), ("correlation_id", S), ("user_id", S))
+# Payload per event family; fields a producer leaves out stay null.
+ORDER_DATA = _struct(("order_id", S), ("product_id", S), ("quantity", I), ("total_amount", D), ("customer_id", S))
+STOCK_DATA = _struct(
+    ("product_id", S), ("product_name", S), ("previous_stock", I), ("current_stock", I),
+    ("reorder_threshold", I), ("stock_change", I))
+ALERT_DATA = _struct(
+    ("alert_level", S), ("title", S), ("message", S), ("affected_products", T.ArrayType(AFFECTED_PRODUCT)))
+FORECAST_DATA = _struct(
+    ("category", S), ("forecast_horizon_days", I), ("predicted_demand", D),
+    ("confidence_interval", _struct(("lower", D), ("upper", D))))
+ANALYTICS_DATA = _struct(
+    ("period", S), ("period_start", TS), ("period_end", TS), ("metrics", T.MapType(S, D)))
+FAMILIES = {"order": ORDER_DATA, "stock": STOCK_DATA, "alert": ALERT_DATA, "forecast": FORECAST_DATA,
+            "analytics": ANALYTICS_DATA}
+
+# The envelope on the wire; ``data`` is the payload as JSON text.
+ENVELOPE = _struct(
+    ("event_id", S), ("event_type", S), ("timestamp", TS), ("source", S), ("version", S), ("data", S),
+    ("correlation_id", S), ("user_id", S))
+
+# Event types.
+EVENT_TYPES = [
+    "order.created", "order.updated", "order.cancelled", "order.delivered",
+    "stock.updated", "stock.low", "stock.out", "stock.replenished",
+    "alert.low_stock", "alert.dead_stock", "alert.reorder_needed", "alert.stockout_risk",
+    "forecast.generated", "forecast.updated", "model.retrained",
+    "analytics.daily_summary", "analytics.weekly_summary", "analytics.monthly_report"]
