@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import (anchor, days_before, delivered, effective_cost, money, not_cancelled, rnd,
                                  share_of, whole_days)
 from .ordered import grouped_percentiles, with_scalars
+from .sales import dashboard_sales
 
 
 def _sold_since(since: Column, kept: Column) -> Column:
@@ -446,3 +447,12 @@ def left_fill_metrics(sales: DataFrame, products: DataFrame) -> DataFrame:
     return products.select("product_id", "category").join(sums, "product_id", "left").select(
         "product_id", "category", F.coalesce("units_sold", F.lit(0)).alias("units_sold"),
         money(F.coalesce("revenue", F.lit(0.0))).alias("revenue"))
+
+
+def dashboard_summary(sales: DataFrame, products: DataFrame, as_of=None) -> DataFrame:
+    """Headline figures: revenue to date, order value, low stock (zero included), dead stock value."""
+    low = products.where(F.col("is_active") & (F.col("current_stock") <= F.col("reorder_threshold"))).agg(
+        F.count(F.lit(1)).alias("low_stock_alerts"))
+    dead = dead_stock(sales, products, as_of=as_of).agg(
+        money(F.coalesce(F.sum("stock_value"), F.lit(0.0))).alias("dead_stock_value"))
+    return with_scalars(with_scalars(dashboard_sales(sales, as_of), low), dead)

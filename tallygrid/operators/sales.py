@@ -269,6 +269,18 @@ PERFORMANCE_ADVICE = {
 }
 
 
+def performance_advice(ranked: DataFrame) -> DataFrame:
+    """Advice for each ranking that has products (rows of ``product_performance``)."""
+    rows = [(kind, i + 1, text) for kind, texts in PERFORMANCE_ADVICE.items() for i, text in enumerate(texts)]
+    advice = ranked.sparkSession.createDataFrame(rows, "topic string, item int, advice string")
+    found = ranked.groupBy(F.concat("ranking", F.lit("_performers")).alias("topic")).agg(F.count(F.lit(1)).alias("products"))
+    return F.broadcast(advice).join(found, "topic")
+
+
+def lookup_by_key(frame: DataFrame, key: str, value) -> DataFrame:
+    return frame.where(F.col(key) == value)
+
+
 def category_performance(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Revenue, profit, volume, shares and margin per category."""
     per_category = (product_totals(sales.where(delivered()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inventory as ops
+from ..operators.sales import top_products
 from .registry import query, rounded as R
 
 _LIVE = "order_status <> 'Cancelled'"
@@ -271,3 +272,14 @@ query("enrich_by_lookup", f"""
     lambda t: t.sales.groupBy("product_id").agg(F.sum("total_amount").alias("r")).join(
         t.catalog.select("product_id", "product_name", "category"), "product_id", "left").select(
         "product_id", "product_name", "category", ops.money("r").alias("revenue")))
+query("dashboard_summary", _DEAD + f"""
+  SELECT {R("coalesce(sum(total_amount) FILTER (order_date >= date_trunc('month', now)), 0)")} AS total_revenue_mtd,
+         {R("coalesce(sum(total_amount) FILTER (order_date >= date_trunc('year', now)), 0)")} AS total_revenue_ytd,
+         count(*) AS total_orders, {R('sum(total_amount) / count(*)')} AS avg_order_value,
+         (SELECT count(*) FROM products WHERE is_active AND current_stock <= reorder_threshold) AS low_stock_alerts,
+         (SELECT {R('coalesce(sum(stock_value), 0)')} FROM dead) AS dead_stock_value
+  FROM sales, clock WHERE order_status = 'Delivered'""")(lambda t: ops.dashboard_summary(t.sales, t.products, t.as_of))
+query("dashboard_top_products", f"""
+  SELECT product_id, product_name, {R('sum(total_amount)')} AS revenue FROM sales JOIN catalog USING (product_id)
+  WHERE order_status = 'Delivered' GROUP BY 1, 2 ORDER BY revenue DESC, product_id LIMIT 5""")(
+    lambda t: top_products(t.sales, t.catalog, "revenue", 5).select("product_id", "product_name", F.col("value").alias("revenue")))

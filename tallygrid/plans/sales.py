@@ -138,6 +138,12 @@ query("product_performance", _ranked("revenue", "revenue"))(lambda t: ops.produc
 query("margin_performance", _ranked("margin", "margin", "raw_revenue > 1000", "raw_revenue > 100"))(
     lambda t: ops.margin_performance(t.sales, t.catalog))
 
+query("performance_advice", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{kind}', {i + 1}, '{text}', {count})" for kind, count in (("best_performers", 10), ("worst_performers", 10))
+    for i, text in enumerate(ops.PERFORMANCE_ADVICE[kind])) + ") v(topic, item, advice, n)", bare=True)(
+    lambda t: ops.performance_advice(ops.product_performance(t.sales, t.catalog)).withColumnRenamed("products", "n").withColumn(
+        "n", ops.F.col("n").cast("int")))
+
 query("category_performance", f"""
   c AS (SELECT category, sum(total_amount) AS r, sum(profit) AS p, CAST(sum(quantity) AS BIGINT) AS units_sold,
                count(*) AS order_rows, count(DISTINCT product_id) AS product_count
@@ -162,12 +168,6 @@ query("available_months", f"""
          count(*) AS order_rows, {R('sum(total_amount)')} AS revenue, monthname(any_value(order_date)) AS month_name,
          monthname(any_value(order_date)) || ' ' || year(any_value(order_date)) AS display
   FROM sales WHERE order_status = 'Delivered' GROUP BY 1, 2""")(lambda t: ops.available_months(t.sales))
-query("dashboard_summary", f"""
-  SELECT {R("coalesce(sum(total_amount) FILTER (order_date >= date_trunc('month', now)), 0)")} AS total_revenue_mtd,
-         {R("coalesce(sum(total_amount) FILTER (order_date >= date_trunc('year', now)), 0)")} AS total_revenue_ytd,
-         count(*) AS total_orders, {R('sum(total_amount) / count(*)')} AS avg_order_value
-  FROM sales, clock WHERE order_status = 'Delivered'""")(lambda t: ops.dashboard_sales(t.sales, t.as_of))
-
 query("dataset_overview", """
   SELECT count(*) AS order_rows, count(DISTINCT customer_id) AS unique_customers,
          CAST(min(order_date) AS DATE) AS first_date, CAST(max(order_date) AS DATE) AS last_date,
@@ -332,6 +332,8 @@ query("browse_orders_page", """
     lambda t: ops.browse_page(t.orders.select(
         "order_id", ops.F.to_date("order_date").alias("order_date"), "customer_id", "order_status"),
         ["order_id"], 200, 100))
+query("lookup_by_key", "SELECT order_id, customer_id, order_status FROM orders_c WHERE customer_id = 42")(
+    lambda t: ops.lookup_by_key(t.orders.select("order_id", "customer_id", "order_status"), "customer_id", 42))
 query("browse_recent_orders", """
   SELECT order_id, CAST(order_date AS DATE) AS order_date, customer_id FROM orders_c
   ORDER BY 2 DESC, 1 LIMIT 10""")(

@@ -22,11 +22,12 @@ ALL = "all"
 
 def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
     """Envelope columns from JSON text. Rows that are no valid event have ``is_valid`` false and keep the text."""
-    text = F.col(value).cast("string")
-    e = F.from_json(text, ENVELOPE)
+    # parsed once into a struct, then its fields are read
+    parsed = raw.select(F.col(value).cast("string").alias("raw")).withColumn("e", F.from_json("raw", ENVELOPE))
+    e = F.col("e")
     known = F.coalesce(e["event_type"].isin(EVENT_TYPES), F.lit(False))
-    return raw.select(
-        text.alias("raw"), known.alias("is_valid"), e["event_id"].alias("event_id"), e["event_type"].alias("event_type"),
+    return parsed.select(
+        "raw", known.alias("is_valid"), e["event_id"].alias("event_id"), e["event_type"].alias("event_type"),
         e["timestamp"].alias("timestamp"), F.coalesce(e["source"], F.lit(SOURCE)).alias("source"),
         F.coalesce(e["version"], F.lit(VERSION)).alias("version"), F.coalesce(e["data"], F.lit("{}")).alias("data"),
         e["correlation_id"].alias("correlation_id"), e["user_id"].alias("user_id"))
