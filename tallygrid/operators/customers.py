@@ -135,7 +135,7 @@ def customer_pareto(sales: DataFrame) -> DataFrame:
     total = ranked.agg(F.sum("spent").alias("_all"), F.count(F.lit(1)).alias("_n"))
     return with_scalars(ranked, total).select(
         "customer_id", money("spent").alias("total_spent"), "rank",
-        rnd(F.col("_c") / F.col("_all") * 100, 4).alias("cumulative_pct"),
+        rnd(F.try_divide("_c", "_all") * 100, 4).alias("cumulative_pct"),
         rnd(F.col("rank") / F.col("_n") * 100, 4).alias("customer_pct"))
 
 

@@ -18,8 +18,12 @@ from ..functions.columns import rnd
 from .forecast import CALENDAR_FEATURES, calendar_features, normal_equations, solve_line
 from .ordered import grouped_percentiles, join_on
 
-SERIES = Window.partitionBy("series_id")
-IN_TIME = SERIES.orderBy("ds")
+def _series():
+    return Window.partitionBy("series_id")
+
+
+def _in_time():
+    return _series().orderBy("ds")
 
 
 def calendar_residuals(history: DataFrame) -> DataFrame:
@@ -36,17 +40,17 @@ def calendar_residuals(history: DataFrame) -> DataFrame:
 
 def durbin_watson(residuals: DataFrame) -> DataFrame:
     e = F.col("residual")
-    steps = residuals.withColumn("_d", e - F.lag("residual").over(IN_TIME))
-    value = F.col("_n") / F.col("_s")
+    steps = residuals.withColumn("_d", e - F.lag("residual").over(_in_time()))
+    value = F.try_divide("_n", "_s")
     return steps.groupBy("series_id").agg(F.sum(F.col("_d") * F.col("_d")).alias("_n"), F.sum(e * e).alias("_s")).select(
         "series_id", rnd(value, 4).alias("durbin_watson"), value.between(1.5, 2.5).alias("independent"))
 
 
 def _autocorrelations(series: DataFrame, value: str, lags: int) -> DataFrame:
     """Size and autocorrelations 1..lags per series, from one sorted pass."""
-    mean = series.withColumn("_c", F.col(value) - F.avg(value).over(SERIES))
-    shifted = mean.select("series_id", "_c", *[F.lag("_c", k).over(IN_TIME).alias(f"_l{k}") for k in range(1, lags + 1)])
-    ratios = [(F.sum(F.col("_c") * F.col(f"_l{k}")) / F.sum(F.col("_c") * F.col("_c"))).alias(f"r{k}")
+    mean = series.withColumn("_c", F.col(value) - F.avg(value).over(_series()))
+    shifted = mean.select("series_id", "_c", *[F.lag("_c", k).over(_in_time()).alias(f"_l{k}") for k in range(1, lags + 1)])
+    ratios = [F.try_divide(F.sum(F.col("_c") * F.col(f"_l{k}")), F.sum(F.col("_c") * F.col("_c"))).alias(f"r{k}")
               for k in range(1, lags + 1)]
     return shifted.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), *ratios)
 
@@ -63,7 +67,7 @@ def ljung_box(residuals: DataFrame, lags: int = 10, value: str = "residual") ->
     """Portmanteau statistic and its tail (even number of lags)."""
     wide = _autocorrelations(residuals, value, lags)
     n = F.col("n")
-    q = n * (n + 2) * sum((F.col(f"r{k}") * F.col(f"r{k}") / (n - k) for k in range(1, lags + 1)), F.lit(0.0))
+    q = n * (n + 2) * sum((F.try_divide(F.col(f"r{k}") * F.col(f"r{k}"), n - k) for k in range(1, lags + 1)), F.lit(0.0))
     p = tails.chi2_tail_even(F.col("_q"), lags)
     return wide.withColumn("_q", q).select(
         "series_id", rnd("_q", 4).alias("ljung_box"), rnd(p, 6).alias("p_value"), (p > 0.05).alias("no_autocorrelation"))
@@ -120,8 +124,8 @@ def _standardised(residuals: DataFrame, value: str, population: bool) -> DataFra
     spread = F.stddev_pop(value) if population else F.stddev_samp(value)
     x = F.col(value)
     return residuals.select(
-        "series_id", x, ((x - F.avg(value).over(SERIES)) / spread.over(SERIES)).alias("z"),
-        F.row_number().over(SERIES.orderBy(value)).alias("i"), F.count(F.lit(1)).over(SERIES).alias("n"))
+        "series_id", x, F.try_divide(x - F.avg(value).over(_series()), spread.over(_series())).alias("z"),
+        F.row_number().over(_series().orderBy(value)).alias("i"), F.count(F.lit(1)).over(_series()).alias("n"))
 
 
 def ks_normal(residuals: DataFrame, value: str = "residual") -> DataFrame:
@@ -169,7 +173,7 @@ def breusch_pagan(residuals: DataFrame) -> DataFrame:
     r2 = F.when(total > 0, explained / total).otherwise(F.lit(0.0))
     stats = sums.select("series_id", "n", r2.alias("r2"))
     n, k = F.col("n").cast("double"), F.lit(float(p))
-    lm, f = n * F.col("r2"), (F.col("r2") / k) / ((1 - F.col("r2")) / (n - k - 1))
+    lm, f = n * F.col("r2"), F.try_divide(F.col("r2") * (n - k - 1), (1 - F.col("r2")) * k)
     out = stats.select("series_id", lm.alias("lm"), f.alias("f"), k.alias("k"), (n - k - 1).alias("rest"))
     out = out.withColumns({"p_value": tails.chi2_tail_3("lm"), "f_p_value": tails.f_upper("f", "k", "rest")})
     return out.select("series_id", *[rnd(c, 4).alias(c) for c in ("lm", "f")], *[rnd(c, 6).alias(c) for c in ("p_value", "f_p_value")],
@@ -207,7 +211,7 @@ def cooks_distance(residuals: DataFrame) -> DataFrame:
     p = len(CALENDAR_FEATURES) + 1
     columns = [F.lit(1.0), *[F.col(c) for c in CALENDAR_FEATURES]]
     inverse = _cross_products(residuals, columns).withColumn("inv", _inverse(p)("gram"))
-    noise = residuals.groupBy("series_id").agg((F.sum(F.col("residual") * F.col("residual")) / (F.count(F.lit(1)) - p)).alias("s2"))
+    noise = residuals.groupBy("series_id").agg(F.try_divide(F.sum(F.col("residual") * F.col("residual")), F.count(F.lit(1)) - p).alias("s2"))
     joined = residuals.join(inverse.select("series_id", "inv").join(noise, "series_id"), "series_id")
     leverage = sum((columns[i] * columns[j] * F.col("inv")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
     h = F.col("leverage")
@@ -225,7 +229,7 @@ def pearson_significance(history: DataFrame, features: Sequence[str] = CALENDAR_
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{c}").alias("r")) for c in features])
     long = wide.select("series_id", "n", F.explode(cells).alias("c")).select("series_id", "n", "c.feature", "c.r")
     df = (F.col("n") - 2).cast("double")
-    t = F.col("r") * F.sqrt(df / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(df, F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300))))
     scored = long.withColumns({"t": t, "df": df}).withColumn("p", tails.student_two_sided("t", "df"))
     return scored.select("series_id", "feature", rnd("r", 4).alias("r"), rnd("p", 6).alias("p_value"),
                          (F.col("p") < 0.05).alias("significant"))

@@ -61,7 +61,7 @@ def ensemble_forecast(forecast: DataFrame, weights: DataFrame) -> DataFrame:
         weights.select("series_id", "model", "weight"), ["series_id", "model"])
 
     def mean(column: str):
-        return F.greatest(F.sum(F.col("weight") * F.col(column)) / F.sum("weight"), F.lit(0.0)).alias(column)
+        return F.greatest(F.try_divide(F.sum(F.col("weight") * F.col(column)), F.sum("weight")), F.lit(0.0)).alias(column)
 
     return joined.groupBy("series_id", "step", "ds").agg(
         F.count(F.lit(1)).alias("members"), mean("forecast"), mean("lower"), mean("upper"))
@@ -92,7 +92,7 @@ def ensemble_pairs(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """Holdout pairs of the weighted combination."""
     joined = pairs.join(weights.select("series_id", "model", "weight"), ["series_id", "model"])
     return joined.groupBy("series_id", "step", "ds", "actual").agg(
-        F.greatest(F.sum(F.col("weight") * F.col("predicted")) / F.sum("weight"), F.lit(0.0)).alias("predicted"))
+        F.greatest(F.try_divide(F.sum(F.col("weight") * F.col("predicted")), F.sum("weight")), F.lit(0.0)).alias("predicted"))
 
 
 def ensemble_compare(pairs: DataFrame, weights: DataFrame, single: str, target: float = 20.0) -> DataFrame:

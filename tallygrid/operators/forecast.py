@@ -205,7 +205,7 @@ def forecast_linear_calendar(history: DataFrame, horizon: int = 7) -> DataFrame:
 
 # Zero rules of the percentage errors: what a zero actual does to its row.
 MAPE_RULES = {
-    "plus_one": lambda a, e: F.abs(e / (a + 1)),
+    "plus_one": lambda a, e: F.abs(F.try_divide(e, a + 1)),
     "floor_one": lambda a, e: F.abs(e / F.greatest(a, F.lit(1.0))),
     "positive": lambda a, e: F.when(a > 0, F.abs(e / a)),
     "nonzero": lambda a, e: F.when(a != 0, F.abs(e / a)),
@@ -337,7 +337,7 @@ def forecast_dashboard_kpis(points: DataFrame, forecast: DataFrame, recent_days:
     cv = F.col("_std") / (f + 0.01)
     return ahead.join(past, "series_id").select(
         "series_id", rnd("_recent", 2).alias("avg_daily"),
-        rnd((F.col("_recent") - F.col("_all")) / F.col("_all") * 100, 1).alias("vs_all_time_pct"),
+        rnd(F.try_divide(F.col("_recent") - F.col("_all"), F.col("_all")) * 100, 1).alias("vs_all_time_pct"),
         rnd("_total", 2).alias("total_forecast"),
         rnd(F.try_divide(F.col("_end") - F.col("_first"), F.col("_first")) * 100, 1).alias("trend_pct"),
         rnd(F.try_divide(F.col("_u") - F.col("_l"), f) * 100, 1).alias("interval_width_pct"),

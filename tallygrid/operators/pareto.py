@@ -57,7 +57,7 @@ def abc_analysis(sales: DataFrame, products: DataFrame) -> DataFrame:
     """
     base = abc_product_revenue(sales, products)
     total = base.agg(F.sum("total_revenue").alias("_all"))
-    hundredths = F.round(rnd(F.col("total_revenue") / F.col("_all") * 100, 2) * 100).cast("long")
+    hundredths = F.round(rnd(F.try_divide("total_revenue", "_all") * 100, 2) * 100).cast("long")
     shared = with_scalars(base, total).withColumn("_h", hundredths).drop("_all")
     ranked = with_running(shared, [F.desc("total_revenue"), "product_id"], "rank", {"_c": "_h"})
     cumulative = F.col("_c") / 100
@@ -71,7 +71,7 @@ def _classified(base: DataFrame, measure: str, label: str, a: float = 80.0, b: f
     """Running share of a measure in descending order, and the class it gives."""
     ranked = with_running(base, [F.desc(measure), "product_id"], f"{label}_rank", {"_c": measure})
     total = ranked.agg(F.sum(measure).alias("_all"), F.count(F.lit(1)).alias("_n"))
-    cumulative = F.col("_c") / F.col("_all") * 100
+    cumulative = F.try_divide("_c", "_all") * 100
     return with_scalars(ranked, total).select(
         *base.columns, f"{label}_rank", cumulative.alias(f"{label}_cumulative_pct"),
         (F.col(f"{label}_rank") / F.col("_n") * 100).alias(f"{label}_product_pct"),
@@ -189,5 +189,5 @@ def pareto_check(exact: DataFrame, top: float = 0.2) -> DataFrame:
         F.max("_n").alias("products"), F.max("_all").alias("_r"), F.sum(F.when(first, F.col("revenue"))).alias("top"),
         F.count(F.when(in_a, 1)).alias("a_products"), F.sum(F.when(in_a, F.col("revenue"))).alias("a"))
     return sums.select(
-        "products", "a_products", rnd(F.coalesce("top", F.lit(0.0)) / F.col("_r") * 100, 2).alias("top_share_pct"),
-        rnd((F.col("a") / F.col("_r")) / (F.col("a_products") / F.col("products")), 2).alias("pareto_ratio"))
+        "products", "a_products", rnd(F.try_divide(F.coalesce("top", F.lit(0.0)), F.col("_r")) * 100, 2).alias("top_share_pct"),
+        rnd(F.try_divide(F.try_divide("a", "_r"), F.col("a_products") / F.col("products")), 2).alias("pareto_ratio"))
