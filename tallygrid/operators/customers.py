@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import calendar as cal
 from ..functions.columns import anchor, delivered, money, rnd, share_of, whole_days
@@ -156,9 +156,10 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
     active = months.select(first.alias("cohort"), F.explode("_months").alias("m")).select(
         "cohort", (F.col("m") - F.col("cohort")).alias("month_index"))
     counts = active.groupBy("cohort", "month_index").agg(F.count(F.lit(1)).alias("customers"))
-    sizes = counts.where(F.col("month_index") == 0).select("cohort", F.col("customers").alias("cohort_size"))
+    # one row per cohort and month, so the window is bounded by the calendar
+    size = F.max(F.when(F.col("month_index") == 0, F.col("customers"))).over(Window.partitionBy("cohort"))
     label = F.format_string("%04d-%02d", F.floor((F.col("cohort") - 1) / 12).cast("int"),
                             ((F.col("cohort") - 1) % 12 + 1).cast("int"))
-    return counts.join(sizes, "cohort").select(
+    return counts.withColumn("cohort_size", size).select(
         label.alias("cohort_month"), "month_index", "customers", "cohort_size",
         share_of(F.col("customers"), F.col("cohort_size")).alias("retention_pct"))

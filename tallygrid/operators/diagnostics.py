@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import tails
 from ..functions.columns import rnd
 from .forecast import CALENDAR_FEATURES, calendar_features, normal_equations, solve_line
-from .ordered import grouped_percentiles, join_on
+from .ordered import grouped_percentiles, join_on, materialise
 
 def _series():
     return Window.partitionBy("series_id")
@@ -28,7 +28,7 @@ def _in_time():
 
 def calendar_residuals(history: DataFrame) -> DataFrame:
     """Fitted values and residuals of the calendar regression, with its features."""
-    rows = calendar_features(history)
+    rows = materialise(calendar_features(history))
     beta = normal_equations(rows, CALENDAR_FEATURES).withColumn("beta", solve_line(3)("means", "covariances"))
     joined = rows.join(beta.select("series_id", "n", "beta"), "series_id")
     fitted = F.col("beta")[0]

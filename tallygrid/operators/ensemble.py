@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import rnd
 from .demand import split_last
 from .forecast import smape_term
-from .ordered import with_scalars
+from .ordered import with_totals
 
 FAILED_SMAPE = 100.0
 
@@ -137,7 +137,6 @@ def class_migration(before: DataFrame, after: DataFrame, key: str, label: str) -
     joined = before.select(key, F.col(label).alias("_b")).join(after.select(key, F.col(label).alias("_a")), key, "full_outer")
     counts = joined.groupBy(F.coalesce("_b", missing).alias("from_class"), F.coalesce("_a", missing).alias("to_class")).agg(
         F.count(F.lit(1)).alias("members"))
-    total = counts.agg(F.sum("members").alias("_all"))
-    return with_scalars(counts, total).select(
+    return with_totals(counts, F.sum("members").alias("_all")).select(
         "from_class", "to_class", "members", rnd(F.col("members") / F.col("_all") * 100, 2).alias("pct"),
         (F.col("from_class") != F.col("to_class")).alias("moved"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import anchor, days_before, money, rnd
 from .demand import indexed, split_last
-from .ordered import join_on, with_scalars
+from .ordered import join_on, materialise, with_totals
 
 MOVING_AVERAGE, SMOOTHING, LINEAR = "moving_average", "exponential_smoothing", "linear_regression"
 METHODS = [MOVING_AVERAGE, LINEAR, SMOOTHING]
@@ -157,7 +157,7 @@ def calendar_features(history: DataFrame) -> DataFrame:
 
 
 def normal_equations(rows: DataFrame, features: Sequence[str], keys: Sequence[str] = ("series_id",),
-                     target: str = "y") -> DataFrame:
+                     target: str = "y", extra: Sequence[Column] = ()) -> DataFrame:
     """Count, means and centred cross products per key: all a linear fit needs.
 
     A few sums per key, combined on the map side; no key's rows are gathered.
@@ -167,7 +167,7 @@ def normal_equations(rows: DataFrame, features: Sequence[str], keys: Sequence[st
     covariances = [F.covar_pop(a, b) for a, b in pairs]
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in names]).alias("means"),
-        F.array(*covariances).alias("covariances"))
+        F.array(*covariances).alias("covariances"), *extra)
 
 
 def solve_line(p: int):
@@ -188,11 +188,10 @@ def solve_line(p: int):
 
 def fit_calendar(history: DataFrame) -> DataFrame:
     """Least squares on day index, weekday and month, one row per series."""
-    rows = calendar_features(history)
-    ends = rows.groupBy("series_id").agg(F.max("ds").alias("last_ds"), F.max("day_index").alias("last_index"))
-    sums = normal_equations(rows, CALENDAR_FEATURES)
-    return sums.withColumn("beta", solve_line(3)("means", "covariances")).select("series_id", "n", "beta").join(
-        ends, "series_id")
+    ends = [F.max("ds").alias("last_ds"), F.max("day_index").alias("last_index")]
+    sums = normal_equations(calendar_features(history), CALENDAR_FEATURES, extra=ends)
+    return sums.withColumn("beta", solve_line(3)("means", "covariances")).select(
+        "series_id", "n", "beta", "last_ds", "last_index")
 
 
 def forecast_linear_calendar(history: DataFrame, horizon: int = 7) -> DataFrame:
@@ -249,7 +248,7 @@ def holdout_predictions(history: DataFrame, periods: int = 30, window: int = 7,
 
     The fit sees only earlier points unless ``in_sample``.
     """
-    marked = split_last(history, periods)
+    marked = materialise(split_last(history, periods))
     base = marked if in_sample else marked.where(~F.col("is_test"))
     fits = fit_simple(base.select("series_id", "ds", "y"), window, alpha).where(F.col("n") >= window)
     test = marked.where("is_test").select("series_id", "ds", F.col("y").cast("double").alias("actual"), "i")
@@ -266,8 +265,8 @@ def model_leaderboard(metrics: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("series"), rnd(F.avg("mae"), 4).alias("mae_mean"),
         rnd(F.stddev_samp("mae"), 4).alias("mae_std"), rnd(F.min("mae"), 4).alias("mae_min"),
         rnd(F.max("mae"), 4).alias("mae_max"))
-    best = board.agg(F.min_by("model", F.struct("mae_mean", "model")).alias("_best"))
-    return with_scalars(board, best).select(*board.columns, (F.col("model") == F.col("_best")).alias("is_best"))
+    best = F.min_by("model", F.struct("mae_mean", "model")).alias("_best")
+    return with_totals(board, best).select(*board.columns, (F.col("model") == F.col("_best")).alias("is_best"))
 
 
 def top_series(points: DataFrame, n: int = 10) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import (anchor, days_before, delivered, effective_cost, money, not_cancelled, rnd,
                                  share_of, whole_days)
-from .ordered import grouped_percentiles, with_scalars
+from .ordered import grouped_percentiles, materialise, with_scalars
 from .sales import dashboard_sales
 
 
@@ -101,7 +101,7 @@ def demand_trend(sales: DataFrame, products: DataFrame, as_of=None) -> DataFrame
 
 def revenue_contribution(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Share of delivered revenue per product."""
-    per = sales.where(delivered()).groupBy("product_id").agg(F.sum("total_amount").alias("r"))
+    per = materialise(sales.where(delivered()).groupBy("product_id").agg(F.sum("total_amount").alias("r")))
     total = per.agg(F.sum("r").alias("_all"))
     joined = with_scalars(products.select("product_id").join(per, "product_id", "left"), total)
     return joined.select("product_id", share_of(F.coalesce("r", F.lit(0.0)), F.col("_all")).alias("revenue_pct"))
@@ -114,7 +114,10 @@ def profit_contribution(sales: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def product_metrics(sales: DataFrame, products: DataFrame, as_of=None) -> DataFrame:
-    """Every product metric from a single pass over the sales."""
+    """Every product metric from a single pass over the sales.
+
+    The pass is written once per product: the revenue total reads it again.
+    """
     moment = anchor(sales, as_of)
     recent, prior = _demand_halves(moment)
     done = delivered()
@@ -124,6 +127,7 @@ def product_metrics(sales: DataFrame, products: DataFrame, as_of=None) -> DataFr
         F.max(F.when(not_cancelled(), F.col("order_date"))).alias("_last"),
         F.sum(F.when(done, F.col("total_amount"))).alias("_revenue"),
         F.sum(F.when(done, F.col("profit"))).alias("_profit"))
+    per = materialise(per)
     total = per.agg(F.sum("_revenue").alias("_all"))
     zero = F.lit(0)
     joined = with_scalars(products.join(per, "product_id", "left"), total)
@@ -425,7 +429,8 @@ def turnover_days_of_stock(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Turnover and cover over the whole date span: means, exact medians, unsold count."""
     span = sales.agg(F.greatest(F.datediff(F.max("order_date"), F.min("order_date")), F.lit(1)).alias("_days"))
     sold = sales.groupBy("product_id").agg(F.sum("quantity").alias("units"))
-    base = with_scalars(products.join(sold, "product_id", "left"), span)
+    base = materialise(with_scalars(products.join(sold, "product_id", "left"), span).select(
+        "product_id", "current_stock", "units", "_days"))
     units, stock = F.coalesce("units", F.lit(0)), F.coalesce("current_stock", F.lit(0))
     turnover = F.when(stock > 0, units / stock).otherwise(F.lit(0.0))
     cover = F.when(units > 0, stock * F.col("_days") / units)

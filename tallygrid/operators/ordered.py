@@ -117,6 +117,16 @@ def with_scalars(frame: DataFrame, summary: DataFrame) -> DataFrame:
     return frame.crossJoin(F.broadcast(summary))
 
 
+def with_totals(frame: DataFrame, *totals: Column) -> DataFrame:
+    """Attach totals of a small aggregate to its own rows.
+
+    The aggregate is written once. Without that, column pruning gives the totals
+    a plan of their own and the facts are scanned and shuffled a second time.
+    """
+    kept = materialise(frame)
+    return with_scalars(kept, kept.agg(*totals))
+
+
 def chunk_rows_by_day(frame: DataFrame, keys: Sequence[str], moment: str, lookback: int = 0, lookahead: int = 0,
                       chunk_size: int = 2_000_000) -> DataFrame:
     """Split oversized keys into day-aligned chunks for row-offset windows.

@@ -6,12 +6,11 @@ no task ever holds every product.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import delivered, money, rnd, share_of
-from .ordered import with_running, with_scalars
+from .ordered import with_running, with_scalars, with_totals
 
 CLASSES = ["A", "B", "C"]
 
@@ -55,10 +54,9 @@ def abc_analysis(sales: DataFrame, products: DataFrame) -> DataFrame:
 
     Shares are summed as whole hundredths of a percent, so the running sum is exact.
     """
-    base = abc_product_revenue(sales, products)
-    total = base.agg(F.sum("total_revenue").alias("_all"))
+    totalled = with_totals(abc_product_revenue(sales, products), F.sum("total_revenue").alias("_all"))
     hundredths = F.round(rnd(F.try_divide("total_revenue", "_all") * 100, 2) * 100).cast("long")
-    shared = with_scalars(base, total).withColumn("_h", hundredths).drop("_all")
+    shared = totalled.withColumn("_h", hundredths).drop("_all")
     ranked = with_running(shared, [F.desc("total_revenue"), "product_id"], "rank", {"_c": "_h"})
     cumulative = F.col("_c") / 100
     return ranked.select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import calendar as cal
 from ..functions.columns import anchor, days_before, delivered, money, not_cancelled, rnd, share_of
-from .ordered import grouped_percentiles, with_scalars
+from .ordered import grouped_percentiles, materialise, with_scalars, with_totals
 
 METRIC_COLUMNS = {"revenue": "total_amount", "profit": "profit", "quantity": "quantity"}
 
@@ -178,8 +178,7 @@ def monthly_report_categories(sales: DataFrame, products: DataFrame, year: int,
                     .groupBy("category")
                     .agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"),
                          F.sum("order_rows").alias("orders")))
-    total = per_category.agg(F.sum("revenue").alias("_total"))
-    return (with_scalars(per_category, total)
+    return (with_totals(per_category, F.sum("revenue").alias("_total"))
             .select("category", money("revenue").alias("revenue"), money("profit").alias("profit"), "orders",
                     share_of(F.col("revenue"), F.col("_total")).alias("revenue_share"))
             .orderBy(F.desc("revenue"), "category"))
@@ -289,9 +288,9 @@ def category_performance(sales: DataFrame, products: DataFrame) -> DataFrame:
                     .agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"),
                          F.sum("units").alias("units_sold"), F.sum("order_rows").alias("order_rows"),
                          F.count(F.lit(1)).alias("product_count")))
-    totals = per_category.agg(F.sum("revenue").alias("_revenue"), F.sum("profit").alias("_profit"))
     rev, profit = F.col("revenue"), F.col("profit")
-    return (with_scalars(per_category, totals).select(
+    totals = [F.sum("revenue").alias("_revenue"), F.sum("profit").alias("_profit")]
+    return (with_totals(per_category, *totals).select(
         "category", money(rev).alias("revenue"), money(profit).alias("profit"), "units_sold", "order_rows",
         "product_count", share_of(rev, F.col("_revenue")).alias("revenue_share"),
         share_of(profit, F.col("_profit")).alias("profit_share"),
@@ -349,7 +348,7 @@ def value_counts(frame: DataFrame, column: str, n: int | None = None) -> DataFra
     """Frequency and share of each value, most frequent first."""
     counts = frame.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("rows"))
-    shared = with_scalars(counts, counts.agg(F.sum("rows").alias("_all"))).select(
+    shared = with_totals(counts, F.sum("rows").alias("_all")).select(
         "value", "rows", share_of(F.col("rows"), F.col("_all")).alias("pct")).orderBy(F.desc("rows"), "value")
     return shared if n is None else shared.limit(n)
 
@@ -437,7 +436,7 @@ def monthly_stats(sales: DataFrame) -> DataFrame:
 
 def weekly_monthly_resample(sales: DataFrame) -> DataFrame:
     """Calendar weeks (ending Sunday) and months, empty periods as zero."""
-    daily = daily_totals(sales)
+    daily = materialise(daily_totals(sales))
     span = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
 
     def resample(label: str, end: Column, grid: Column) -> DataFrame:
@@ -494,8 +493,8 @@ def mom_growth_cumulative(sales: DataFrame) -> DataFrame:
     by_month = Window.orderBy("period_end")
     prev_r, prev_o = F.lag("revenue").over(by_month), F.lag("orders").over(by_month)
     monthly = _monthly_resampled(sales)
-    edges = monthly.agg(F.max_by("period_end", "revenue").alias("_best"), F.min_by("period_end", "revenue").alias("_worst"))
-    return with_scalars(monthly, edges).select(
+    edges = [F.max_by("period_end", "revenue").alias("_best"), F.min_by("period_end", "revenue").alias("_worst")]
+    return with_totals(monthly, *edges).select(
         "period_end", "orders", "revenue",
         F.when(prev_r != 0, rnd((F.col("revenue") - prev_r) / prev_r * 100, 2)).alias("revenue_growth"),
         F.when(prev_o != 0, rnd((F.col("orders") - prev_o) / prev_o * 100, 2)).alias("orders_growth"),

@@ -14,7 +14,7 @@ def _history(t):
 
 
 def _residuals(t):
-    return ops.calendar_residuals(materialise(_history(t)))
+    return ops.calendar_residuals(_history(t))
 
 
 def _weekly(t):
