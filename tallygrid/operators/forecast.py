@@ -290,6 +290,22 @@ def horizon_rollup(forecast: DataFrame, horizons: Sequence[int] = (30, 60, 90),
         F.count(F.lit(1)).alias("steps"))
 
 
+def horizon_detail(forecast: DataFrame, horizons: Sequence[int] = (30, 60, 90), weekly: bool = False) -> DataFrame:
+    """The steps behind each horizon, with the demand per day they stand for."""
+    days = F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("horizon_days")
+    steps = F.greatest(F.floor(F.col("horizon_days") / 7), F.lit(1)) if weekly else F.col("horizon_days")
+    return forecast.select("series_id", "step", "ds", "forecast", "lower", "upper", days).where(F.col("step") <= steps).select(
+        "series_id", "horizon_days", "step", "ds", *[rnd(c, 2).alias(c) for c in ("forecast", "lower", "upper")],
+        rnd(F.col("forecast") / (7 if weekly else 1), 2).alias("daily_equivalent"))
+
+
+def fallback_advice(rollup: DataFrame) -> DataFrame:
+    """Stock advice from the totals alone, for series whose interval is not known."""
+    total, days = F.col("total_forecast"), F.col("horizon_days")
+    return rollup.select("series_id", "horizon_days", rnd(total / days * 14, 0).alias("reorder_point"),
+                         rnd(total * 0.1, 0).alias("safety_stock"), F.lit("medium").alias("stockout_risk"))
+
+
 def horizon_grand_total(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy("horizon_days").agg(
         F.count(F.lit(1)).alias("series"), rnd(F.sum("total_forecast"), 0).alias("total_forecast"))

@@ -6,7 +6,6 @@ no task ever holds every product.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import delivered, money, rnd, share_of

@@ -220,6 +220,14 @@ query("horizon_rollup_weekly", _banded("category", 13) + f"""
          {R('sum(lower)', 0)} AS lower_total, {R('sum(upper)', 0)} AS upper_total, count(*) AS steps
   FROM band, {_HORIZONS} WHERE step <= greatest(horizon_days // 7, 1) GROUP BY 1, 2""")(
     lambda t: ops.horizon_rollup(ops.forecast_fallback_band(_category_daily(t), horizon=13), weekly=True))
+query("horizon_detail", _banded("category", 13) + f"""
+  SELECT series_id, horizon_days, step, ds, {R('forecast')} AS forecast, {R('lower')} AS lower, {R('upper')} AS upper,
+         {R('forecast / 7')} AS daily_equivalent FROM band, {_HORIZONS} WHERE step <= greatest(horizon_days // 7, 1)""")(
+    lambda t: ops.horizon_detail(ops.forecast_fallback_band(_category_daily(t), horizon=13), weekly=True))
+query("forecast_fallback_advice", _banded("category", 90) + "," + _ROLL + f"""
+  SELECT series_id, horizon_days, {R('total_forecast / horizon_days * 14', 0)} AS reorder_point,
+         {R('total_forecast * 0.1::DOUBLE', 0)} AS safety_stock, 'medium' AS stockout_risk FROM roll""")(
+    lambda t: ops.fallback_advice(ops.horizon_rollup(_band90(t))))
 query("horizon_grand_total", _banded("category", 90) + "," + _ROLL + f"""
   SELECT horizon_days, count(*) AS series, {R('sum(total_forecast)', 0)} AS total_forecast FROM roll GROUP BY 1""")(
     lambda t: ops.horizon_grand_total(ops.horizon_rollup(_band90(t))))

@@ -134,11 +134,11 @@ query("load_denormalised_orders", f"""
         F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("units"), money(F.sum("total_amount")).alias("revenue")))
 query("upload_alias_map", """
   SELECT count(*) AS records_processed, CAST(min(order_date) AS DATE) AS first_date, CAST(max(order_date) AS DATE) AS last_date,
-         list_sort(list(DISTINCT category)) AS categories
+         array_to_string(list_sort(list(DISTINCT category)), ',') AS categories
   FROM sales JOIN catalog USING (product_id) WHERE order_status <> 'Cancelled'""")(
     lambda t: wide.upload_report(wide.prepare_upload(t.sales.join(t.catalog.select("product_id", "category"), "product_id").select(
         F.col("order_date").alias("Date"), F.col("quantity").alias("QTY"), F.col("category").alias("Cat"),
-        F.col("order_status").alias("OrderStatus")))))
+        F.col("order_status").alias("OrderStatus")))).withColumn("categories", F.concat_ws(",", "categories")))
 query("seed_stock_levels", """
   s AS (SELECT product_id, CAST(greatest(floor(coalesce(sum(quantity), 0) * 0.3::DOUBLE), 50) AS INTEGER) AS initial_stock
         FROM catalog LEFT JOIN (SELECT product_id, quantity FROM sales) USING (product_id) GROUP BY 1),

@@ -77,6 +77,11 @@ _SOILED = """
   s_sellers AS (SELECT seller_id - CASE WHEN seller_id % 9 = 1 THEN 1 ELSE 0 END AS seller_id FROM sellers)"""
 
 
+def _validated(frame, entity, as_of=None):
+    """Result row with its messages as text."""
+    return ops.validate(frame, entity, as_of).withColumns({c: F.concat_ws("; ", c) for c in ("errors", "warnings")})
+
+
 def _validation(entity: str, table: str, key: str | None, label: str,
                 checks: list[tuple[str, str, bool, bool]]) -> str:
     counts = "".join(f", count(*) FILTER ({cond}) AS c{i}" for i, (cond, _, _, _) in enumerate(checks))
@@ -94,31 +99,31 @@ def _validation(entity: str, table: str, key: str | None, label: str,
       SELECT '{entity}' AS entity, len({notes(True)}) = 0 AS is_valid, total_records,
              CAST(total_records - ({invalid}) AS BIGINT) AS valid_records, CAST({invalid} AS BIGINT) AS invalid_records,
              distinct_invalid_rows, {R(f'({invalid}) / total_records', 4)} AS error_rate,
-             {notes(True)} AS errors, {notes(False)} AS warnings FROM v"""
+             array_to_string({notes(True)}, '; ') AS errors, array_to_string({notes(False)}, '; ') AS warnings FROM v"""
 
 
 query("validate_customers", _validation("customers", "s_customers", "customer_id", "customer IDs", [
     ("customer_name IS NULL", "customers with missing names", False, True)]))(
-    lambda t: ops.validate(_customers(t), "customers"))
+    lambda t: _validated(_customers(t), "customers"))
 query("validate_products", _validation("products", "s_products", "product_id", "product IDs", [
     ("product_name IS NULL", "products with missing names (NOT NULL constraint)", True, True),
     ("cost_price < 0", "products with negative cost prices", True, True)]))(
-    lambda t: ops.validate(_products(t), "products"))
+    lambda t: _validated(_products(t), "products"))
 query("validate_inventory", _validation("inventory", "s_inventory", None, "", [
     ("current_stock < 0", "items with negative stock levels", True, True),
     ("reorder_level < 0", "items with negative reorder points", True, True)]))(
-    lambda t: ops.validate(_inventory(t), "inventory"))
+    lambda t: _validated(_inventory(t), "inventory"))
 query("validate_orders", _validation("orders", "s_orders", "order_id", "order IDs", [
     ("order_date IS NULL", "orders with invalid dates", True, True),
     ("order_date > TIMESTAMP '2000-01-01'", "orders with future dates", False, False)]))(
-    lambda t: ops.validate(_orders(t), "orders", "2000-01-01"))
+    lambda t: _validated(_orders(t), "orders", "2000-01-01"))
 query("validate_order_items", _validation("order_items", "s_items", None, "", [
     ("quantity <= 0", "items with quantity <= 0", True, True),
     ("unit_price < 0", "items with negative unit prices", True, True),
     ("total_amount < 0", "items with negative total amounts (may be refunds)", False, False)]))(
-    lambda t: ops.validate(_items(t), "order_items"))
+    lambda t: _validated(_items(t), "order_items"))
 query("validate_sellers", _validation("sellers", "s_sellers", "seller_id", "seller IDs", []))(
-    lambda t: ops.validate(_sellers(t), "sellers"))
+    lambda t: _validated(_sellers(t), "sellers"))
 
 _PROFILED = ["product_id", "product_name", "category", "brand", "cost_price"]
 query("null_profile", _SOILED + " SELECT * FROM (" + " UNION ALL ".join(f"""
