@@ -16,6 +16,10 @@ from ..functions.columns import _col
 from ..session import ensure_checkpoint_dir
 
 
+# Fixed value: a generated id holds the partition number above this many bits of row number.
+_ID_BITS = 33
+
+
 def materialise(frame: DataFrame) -> DataFrame:
     """Write a small derived table once, so the branches that read it do not each scan the facts.
 
@@ -42,12 +46,14 @@ def with_running(frame: DataFrame, order_by: Sequence[Column | str], position: s
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [_col(o) for o in order_by]
 
-    in_range = Window.partitionBy("_range").orderBy(*order)
-    to_here = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = frame.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id())
-    local = local.select(
-        "*", F.row_number().over(in_range).cast("long").alias("_row"),
-        *[F.sum(src).over(to_here).alias(f"_run_{name}") for name, src in totals.items()])
+    # the generated id is the range number and the place in it: no shuffle beyond the range one
+    placed = frame.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn(
+        "_id", F.monotonically_increasing_id())
+    local = placed.select(*frame.columns, F.shiftright("_id", _ID_BITS).alias("_range"),
+                          (F.col("_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1)) + 1).alias("_row"))
+    if totals:
+        to_here = Window.partitionBy("_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = local.select("*", *[F.sum(src).over(to_here).alias(f"_run_{name}") for name, src in totals.items()])
     local = local.checkpoint(eager=True)
 
     sizes = local.groupBy("_range").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import ENVELOPE, EVENT_TYPES, FAMILIES
 
+# Envelope defaults.
 SOURCE, VERSION = "inventory-manager", "1.0"
 
 # Topic and channel per event-type prefix.
