@@ -72,32 +72,47 @@ def grouped_percentiles(frame: DataFrame, keys: Sequence[str], value: str,
                         wanted: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles per key, at any group size.
 
-    Equal values are counted before the sort, so a repeated value is one row.
+    Equal values are counted first, so a repeated value is one row. The counts
+    are range-partitioned and written once; range totals per key (at most one row
+    per range) show which ranges hold the wanted ranks, and only those are sorted.
     """
     keys = list(keys)
+    spark = frame.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = (frame.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_n")))
-    placed = with_running(counted, [*keys, "_v"], position=None, totals={"_cum": "_n"})
-    placed = placed.withColumn("_from", F.col("_cum") - F.col("_n"))
-    spans = placed.groupBy(*keys).agg(F.min("_from").alias("_start"), F.sum("_n").alias("_size"))
-    joined = join_on(placed, spans, keys)
-    first = F.col("_from") - F.col("_start")
-    last = first + F.col("_n") - 1
+    placed = materialise(counted.repartitionByRange(ranges, *keys, "_v").withColumn("_range", F.spark_partition_id()))
+
+    def ranks(q: float) -> tuple[Column, Column, Column]:
+        target = F.lit(float(q)) * (F.col("_size") - 1)
+        return target, F.floor(target), F.ceil(target)
+
+    by_key = Window.partitionBy(*keys)
+    earlier = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in")).select(
+        *keys, "_range", "_in", F.sum("_in").over(by_key).alias("_size"),
+        F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
+    holds = F.lit(False)
+    for q in wanted.values():
+        for place in ranks(q)[1:]:
+            holds = holds | ((place >= F.col("_before")) & (place < F.col("_before") + F.col("_in")))
+    needed = join_on(placed, totals.where(holds), [*keys, "_range"])
+    upto = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = needed.withColumn("_last", F.col("_before") + F.sum("_n").over(upto) - 1)
+    first, last = F.col("_last") - F.col("_n") + 1, F.col("_last")
 
     picks = []
     for name, q in wanted.items():
-        target = F.lit(float(q)) * (F.col("_size") - 1)
-        for tag, place in (("lo", F.floor(target)), ("hi", F.ceil(target))):
-            picks.append(F.max(F.when((first <= place) & (place <= last), F.col("_v")))
-                         .alias(f"_{tag}_{name}"))
-    agg = joined.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
+        for tag, place in zip(("lo", "hi"), ranks(q)[1:]):
+            picks.append(F.max(F.when((first <= place) & (place <= last), F.col("_v"))).alias(f"_{tag}_{name}"))
+    found = rows.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
     out = []
     for name, q in wanted.items():
-        target = F.lit(float(q)) * (F.col("_size") - 1)
+        target, floor, _ = ranks(q)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * (target - F.floor(target))).alias(name))
-    return agg.select(*keys, *out)
+        out.append((low + (high - low) * (target - floor)).alias(name))
+    return found.select(*keys, *out)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
