@@ -8,6 +8,7 @@ rows, number them inside each range, and add the range offsets afterwards.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,12 +22,16 @@ _ID_BITS = 33
 
 
 def materialise(frame: DataFrame) -> DataFrame:
-    """Write a small derived table once, so the branches that read it do not each scan the facts.
+    """Write a derived table once and read it back, so its readers do not each scan the facts.
 
-    A reliable checkpoint on shared storage: it survives the loss of executors.
+    The table is columnar and lies in the shared checkpoint folder: it survives
+    the loss of executors, readers take only the columns they need, and its
+    measured size guides later join choices.
     """
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def with_running(frame: DataFrame, order_by: Sequence[Column | str], position: str | None = "position",
@@ -36,13 +41,12 @@ def with_running(frame: DataFrame, order_by: Sequence[Column | str], position: s
     ``totals`` maps new column names to the columns they accumulate. The order
     must be total (end it with a key), or positions of tied rows are arbitrary.
 
-    The ranged rows are checkpointed once: range bounds come from a sample, so
+    The ranged rows are written once: range bounds come from a sample, so
     the offsets and the rows must be read from the same materialised ranges.
     The offsets table has one row per range, which bounds the broadcast.
     """
     totals = totals or {}
     spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [_col(o) for o in order_by]
 
@@ -54,7 +58,7 @@ def with_running(frame: DataFrame, order_by: Sequence[Column | str], position: s
     if totals:
         to_here = Window.partitionBy("_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = local.select("*", *[F.sum(src).over(to_here).alias(f"_run_{name}") for name, src in totals.items()])
-    local = local.checkpoint(eager=True)
+    local = materialise(local)
 
     sizes = local.groupBy("_range").agg(
         F.max("_row").alias("_rows"), *[F.sum(src).alias(f"_sum_{name}") for name, src in totals.items()])
