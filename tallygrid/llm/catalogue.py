@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, urls
+from . import chat, packing, pseudonyms, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_url_filter": urls.op3_url_filter,
+    "op6_packing": packing.op6_packing,
+    "op7_pii": pseudonyms.op7_pii,
 }
 
 ORACLES = {
