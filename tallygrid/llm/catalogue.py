@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, packing, pseudonyms, urls
+from . import chat, minhash, packing, pseudonyms, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_url_filter": urls.op3_url_filter,
+    "op5_minhash": minhash.op5_minhash,
     "op6_packing": packing.op6_packing,
     "op7_pii": pseudonyms.op7_pii,
 }
@@ -14,6 +15,7 @@ QUERIES = {
 ORACLES = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_url_filter": urls.OP3_SQL,
+    "op5_minhash": minhash.OP5_SQL,
 }
 
 
