@@ -67,7 +67,7 @@ def salted_number(frame: DataFrame, groups: list[str], order: list[str], name: s
 
     salted = frame.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(*groups, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups or [F.lit(0)]).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_salt").alias("_s"),
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(*groups, "_salt").orderBy(*order)
