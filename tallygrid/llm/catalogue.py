@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, minhash, packing, pseudonyms, sharding, urls
+from . import chat, decontaminate, language, minhash, packing, pseudonyms, sharding, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_minhash": minhash.op5_minhash,
     "op6_packing": packing.op6_packing,
     "op7_pii": pseudonyms.op7_pii,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sharding": sharding.op9_sharding,
     "op10_language_id": language.op10_language_id,
 }
