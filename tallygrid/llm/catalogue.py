@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, minhash, packing, pseudonyms, sharding, urls
+from . import chat, decontaminate, language, minhash, neighbours, packing, pseudonyms, sharding, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_minhash": minhash.op5_minhash,
     "op6_packing": packing.op6_packing,
     "op7_pii": pseudonyms.op7_pii,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_url_filter": urls.OP3_SQL,
+    "op4_neighbours": neighbours.OP4_SQL,
     "op5_minhash": minhash.OP5_SQL,
 }
 
