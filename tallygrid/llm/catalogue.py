@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, minhash, neighbours, packing, pseudonyms, sharding, urls
+from . import chat, decontaminate, language, minhash, neighbours, packing, pseudonyms, sharding, suffixes, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_url_filter": urls.op3_url_filter,
     "op4_neighbours": neighbours.op4_neighbours,
     "op5_minhash": minhash.op5_minhash,
