@@ -1,9 +1,71 @@
-"""Corpus pipeline: placeholder stages are added as the operators land."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as
+the next one's ``docs``. All stages but the last return the columns of ``docs`` and work on whatever columns there
+are besides ``doc_id``, ``text`` and (language) ``lang``.
 
+A row with a null text is rejected as undetermined language. Rows without an id pass every stage on their own
+merits. An empty table gives an empty result.
+"""
 
-def run(spark, sf_dir):
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallygrid.llm import decontaminate, language, minhash, packing, pseudonyms
+from tallygrid.llm.tables import Scratch
+
+LEAST_SCORE = 0.5  # below this no language has the better odds against all others together
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents stay whose language is determined with at least even odds."""
+    path = language.vocabulary_path()
+    model = language.fit_documents(spark, docs, path)
+    named = language.predict(docs, model, path, prediction="_lang_pred", score="_lang_score")
+    return named.where((F.col("_lang_pred") != language.UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: the document with the smallest id of each group stays, one row of it."""
+    judged = minhash.near_duplicates(spark, docs, width=5, percent=80)
+    kept = judged.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    stay = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where("doc_id is null"))
+
+
+def keep_clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: validated values in the texts become pseudonyms of the same format. Text lengths follow."""
+    done = pseudonyms.pseudonymise(docs)
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: every document's pieces with their place in a sequence."""
+    return packing.pack_documents(spark, docs)
+
+
+STAGES = [
+    ("language ID", keep_identified),
+    ("MinHash near-dedup", keep_one_of_each_group),
+    ("benchmark decontamination", keep_clean_of_benchmarks),
+    ("PII", replace_personal_data),
+    ("best-fit packing", pack_sequences),
+]
+ORACLE_SQL = None  # no stage's model, signatures, permutations or tokenizer can be written in SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        docs = done if k == len(STAGES) - 1 else scratch.keep(done, name.lower().replace(" ", "-"))
     return docs

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import Scratch
 
@@ -186,10 +187,13 @@ def fit(spark: SparkSession, labelled: DataFrame, path: str, docs_per_language:
     return languages, np.log(n / n.sum()), probabilities
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], path: str, text_column: str = "text") -> DataFrame:
-    """Add lang_pred and score (the posterior of the predicted language) to every row."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], path: str, text_column: str = "text",
+            prediction: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the predicted language and its posterior to every row, under names that ``docs`` doesn't have."""
     languages, prior, probabilities = model
     names = docs.columns
+    if {prediction, score} & set(names):
+        raise ValueError(f"docs has a column {prediction} or {score}; name the added columns otherwise")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path)
@@ -197,7 +201,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
         table = np.zeros((0, len(languages)))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_column))
-            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            lang, odds_of = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             held: list[tuple[int, list[str]]] = []
             size = 0
 
@@ -217,7 +221,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
                     log = table[at].sum(axis=0) + prior
                     odds = np.exp(log - log.max())
                     best = int(log.argmax())
-                    lang[row], score[row] = languages[best], float(odds[best] / odds.sum())
+                    lang[row], odds_of[row] = languages[best], float(odds[best] / odds.sum())
                 held.clear()
 
             for row, text in enumerate(texts):
@@ -229,13 +233,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
                     settle()
                     size = 0
             settle()
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names if c != text_column]
-            yield pa.RecordBatch.from_arrays([*kept, texts, pa.array(lang, pa.string()), pa.array(score)],
-                                             names=[*[c for c in names if c != text_column], text_column, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(odds_of)],
+                                             names=[*names, prediction, score])
 
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*[c for c in names if c != text_column], text_column])
-    return docs.mapInArrow(judge, schema + ", lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(judge, schema)
 
 
 def held_out(doc_id: Column) -> Column:

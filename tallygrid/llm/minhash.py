@@ -29,7 +29,8 @@ from .words import mix, shingle_hashes, slices, word_hashes
 RING = 1 << 20
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 meets in no band with probability 3e-6
 SEED = 20240229
-FULL_PAIRS = 4  # pairs per document below which the pairs left over are compared at once
+FULL_PAIRS = 16  # pairs, counted once a bucket, per candidate document below which all that are left are compared at once
+HUBS = 8  # hubs of a bucket in a round after the first
 
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
@@ -138,38 +139,41 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     sets = scratch.keep(set_table(texts.join(candidates, F.col("doc_id") == F.col("_id"), "left_semi"), width)
                         .dropDuplicates(["doc_id", "shingles"]), "sets")
     documents = sets.count()
-    open_members = members.withColumn("component", F.col("doc_id"))
-    links, labels = None, None
+    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent  # a union is no smaller than its larger set
+    links, labels, hubs_at_once, open_members = None, None, 1, members.withColumn("component", F.col("doc_id"))
     while True:
-        # buckets whose members lie in several components; a hub has been compared with all others and leaves its bucket
-        state = open_members.groupBy("bucket").agg(
-            F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"),
-            F.max("component").alias("hi"), F.min_by("component", "doc_id").alias("hub_component"),
-            F.min_by("n", "doc_id").alias("hub_n")).where("lo != hi")
-        state = scratch.keep(state.withColumnRenamed("bucket", "_k"), "state")
-        left = state.agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0]
+        # only buckets whose members lie in several components go on
+        parts = open_members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+        across = scratch.keep(parts.groupBy(F.col("bucket").alias("_k")).agg(
+            F.expr("(sum(m) * sum(m) - sum(m * m)) / 2").alias("pairs")).where("pairs > 0"), "across")
+        left = across.agg(F.sum("pairs")).first()[0]
         if not left:
             break
-        inside = open_members.join(state, F.col("bucket") == F.col("_k"))
-        near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731 - a union is no smaller than its larger set
-        last = left <= FULL_PAIRS * max(documents, 1)
+        inside = scratch.keep(open_members.join(across, F.col("bucket") == F.col("_k")).select(
+            "bucket", "doc_id", "n", "component", F.pmod(F.xxhash64("doc_id"), F.lit(hubs_at_once)).alias("slot")), "inside")
+        last = left <= FULL_PAIRS * documents
         if last:
-            one = inside.select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            two = inside.select(F.col("bucket").alias("_kb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = one.join(two, (F.col("bucket") == F.col("_kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                             & near(F.col("na"), F.col("nb")))
+            hubs = inside.select(F.col("bucket").alias("_k"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"),
+                                 F.col("component").alias("hub_component"))
         else:
-            pairs = inside.where((F.col("doc_id") != F.col("hub")) & (F.col("component") != F.col("hub_component"))
-                                 & near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-        found = confirm(scratch.keep(pairs.select("a", "b").distinct(), "pairs"), sets, percent)
-        links = scratch.keep(found if links is None else links.unionByName(found), "links")
+            # a hub is compared with all members outside its component and then leaves the bucket
+            hubs = scratch.keep(inside.groupBy(F.col("bucket").alias("_k"), F.col("slot").alias("_s")).agg(
+                F.min("doc_id").alias("hub"), F.min_by("n", "doc_id").alias("hub_n"),
+                F.min_by("component", "doc_id").alias("hub_component")), "hubs")
+        pairs = inside.join(hubs, (F.col("bucket") == F.col("_k")) & (F.col("component") != F.col("hub_component")) & near)
+        pairs = scratch.keep(pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "pairs")
+        found = scratch.keep(confirm(pairs, sets, percent), "links")
+        links = found if links is None else links.unionByName(found)
         labels = scratch.keep(connected_components(links, scratch), "labels")
         if last:
             break
-        rest = inside.where(F.col("doc_id") != F.col("hub")).select("bucket", "doc_id", "n")
-        name = labels.select(F.col("id"), F.col("component"))
+        rest = inside.join(hubs.select("_k", "_s", "hub"), (F.col("bucket") == F.col("_k")) & (F.col("slot") == F.col("_s"))).where(
+            "doc_id <> hub").select("bucket", "doc_id", "n")
+        name = labels.select("id", "component")
         open_members = scratch.keep(rest.join(name, F.col("doc_id") == F.col("id"), "left").select(
             "bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "open")
+        scratch.drop(across, inside, hubs, pairs)
+        hubs_at_once = HUBS
 
     classed = classes.select(F.col("set_a").alias("_sa"), F.col("set_b").alias("_sb"), F.col("n").alias("_n"), "rep")
     if labels is not None:

@@ -4,7 +4,7 @@ Numbers and dates that pass validation are permuted within their format by a key
 product of two residue rings (no cycle walking): a card number becomes another card number with a right check
 digit, a phone number keeps its layout, a network address stays four octets, a date stays a date. Equal values
 get equal pseudonyms under one key in every document, so they stay linked. E-mail names and credentials have no
-fixed number format; their characters are replaced by letters and digits of a keyed digest, at the same length.
+fixed number format: a credential becomes a keyed digest of its length, an e-mail name one of 12 characters or more.
 
 Kinds and validation:
 * card: 13 to 19 digits, single blanks or hyphens allowed between them, Luhn check digit right, not one digit repeated
