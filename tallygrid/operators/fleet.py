@@ -52,7 +52,7 @@ def seasonal_ar_fit(y: np.ndarray, order: Sequence[int], seasonal: Sequence[int]
         w = w[period:] - w[:-period]
     ar = [*range(1, p + 1), *[period * k for k in range(1, sp + 1)]]
     ma = [*range(1, q + 1), *[period * k for k in range(1, sq + 1)]]
-    long = min(max(p + q + 2, 4), max(len(w) // 4, 1))
+    long = max(p + q + 2, 4)
     start = max([long, *ar, *ma], default=long)
     if len(w) - start < len(ar) + len(ma) + 8:
         raise ValueError(f"too few points: {len(y)}")
@@ -77,7 +77,7 @@ def _path(fit: dict, steps: int, shock: float = 0.0) -> np.ndarray:
         e = shock if h == 0 else 0.0
         value = c[0] + e + sum(c[1 + j] * w[-k] for j, k in enumerate(ar))
         value += sum(c[1 + len(ar) + j] * shocks[-k] for j, k in enumerate(ma))
-        w.append(float(np.clip(value, -20.0, 20.0)))
+        w.append(float(value))
         shocks.append(e)
     ahead = np.array(w[len(fit["w"]):])
     (_, d, _), (_, sd, _, period) = fit["order"], fit["seasonal"]
@@ -102,8 +102,10 @@ def seasonal_ar_path(fit: dict, steps: int) -> tuple[np.ndarray, np.ndarray, np.
     mean = _path(fit, steps)
     psi = _path(fit, steps, 1.0) - mean
     spread = Z95 * np.sqrt(fit["sigma2"] * np.cumsum(psi ** 2))
-    cap = float(fit["level"].max()) + 3.0
-    lower, middle, upper = (np.maximum(np.expm1(np.minimum(v, cap)), 0.0) for v in (mean - spread, mean, mean + spread))
+    with np.errstate(over="ignore", invalid="ignore"):
+        lower, middle, upper = (np.maximum(np.expm1(v), 0.0) for v in (mean - spread, mean, mean + spread))
+    if not np.isfinite([lower, middle, upper]).all():
+        raise ValueError(f"forecast diverges within {steps} steps")
     return middle, lower, upper
 
 

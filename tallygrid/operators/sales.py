@@ -268,12 +268,14 @@ PERFORMANCE_ADVICE = {
 }
 
 
-def performance_advice(ranked: DataFrame) -> DataFrame:
-    """Advice for each ranking that has products (rows of ``product_performance``)."""
+def performance_advice(ranked: DataFrame, margins: DataFrame) -> DataFrame:
+    """All advice, with the number of products in each ranking (``product_performance``, ``margin_performance``)."""
     rows = [(kind, i + 1, text) for kind, texts in PERFORMANCE_ADVICE.items() for i, text in enumerate(texts)]
     advice = ranked.sparkSession.createDataFrame(rows, "topic string, item int, advice string")
-    found = ranked.groupBy(F.concat("ranking", F.lit("_performers")).alias("topic")).agg(F.count(F.lit(1)).alias("products"))
-    return F.broadcast(advice).join(found, "topic")
+    topics = ranked.select(F.concat("ranking", F.lit("_performers")).alias("topic")).unionByName(
+        margins.select(F.lit("margin_optimization").alias("topic")))
+    found = topics.groupBy("topic").agg(F.count(F.lit(1)).alias("products"))
+    return advice.join(found, "topic", "left").na.fill(0, ["products"])
 
 
 def lookup_by_key(frame: DataFrame, key: str, value) -> DataFrame:

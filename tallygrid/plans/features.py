@@ -65,8 +65,8 @@ query("rolling_features_chunked", f"SELECT {_ID}, " + ", ".join(_rolling(7, Fals
     lambda t: _shown(ops.rolling_features(_lines(t), (7,), chunk=8), list(ops.rolling_columns((7,)))))
 query("seasonal_features", f"""
   s AS (SELECT *, lag(quantity, 30) OVER w AS q30, lag(quantity, 365) OVER w AS q365, avg(quantity) {_rows(30)} AS tr FROM sales WINDOW {_W})
-  SELECT {_ID}, {R('tr', 4)} AS quantity_trend, {R('least(greatest(coalesce(quantity / q30 - 1, 0), -10), 10)', 4)} AS quantity_mom_growth,
-         {R('least(greatest(coalesce(quantity / q365 - 1, 0), -10), 10)', 4)} AS quantity_yoy_growth,
+  SELECT {_ID}, {R('tr', 4)} AS quantity_trend, {R('least(greatest(coalesce(CASE WHEN q30 = 0 THEN sign(quantity) * 10 ELSE quantity / q30 - 1 END, 0), -10), 10)', 4)} AS quantity_mom_growth,
+         {R('least(greatest(coalesce(CASE WHEN q365 = 0 THEN sign(quantity) * 10 ELSE quantity / q365 - 1 END, 0), -10), 10)', 4)} AS quantity_yoy_growth,
          CAST(month(order_date) IN (11, 12) AS INTEGER) AS is_holiday_season,
          CAST(month(order_date) IN (8, 9) AS INTEGER) AS is_back_to_school FROM s""")(
     lambda t: ops.seasonal_features(_lines(t)).select(

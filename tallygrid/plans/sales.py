@@ -6,7 +6,6 @@ from ..operators import sales as ops
 from .registry import query, rounded as R
 
 YEAR, MONTH = 1998, 6
-CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def _top(metric: str, source: str) -> str:
@@ -138,11 +137,17 @@ query("product_performance", _ranked("revenue", "revenue"))(lambda t: ops.produc
 query("margin_performance", _ranked("margin", "margin", "raw_revenue > 1000", "raw_revenue > 100"))(
     lambda t: ops.margin_performance(t.sales, t.catalog))
 
-query("performance_advice", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{kind}', {i + 1}, '{text}', {count})" for kind, count in (("best_performers", 10), ("worst_performers", 10))
-    for i, text in enumerate(ops.PERFORMANCE_ADVICE[kind])) + ") v(topic, item, advice, n)", bare=True)(
-    lambda t: ops.performance_advice(ops.product_performance(t.sales, t.catalog)).withColumnRenamed("products", "n").withColumn(
-        "n", ops.F.col("n").cast("int")))
+query("performance_advice", _PERF + """,
+  shown AS (
+    (SELECT 'best_performers' AS topic FROM perf LIMIT 10) UNION ALL (SELECT 'worst_performers' FROM perf LIMIT 10)
+    UNION ALL (SELECT 'margin_optimization' FROM perf WHERE raw_revenue > 1000 LIMIT 10)
+    UNION ALL (SELECT 'margin_optimization' FROM perf WHERE raw_revenue > 100 LIMIT 10)),
+  counted AS (SELECT topic, CAST(count(*) AS INTEGER) AS n FROM shown GROUP BY 1)
+  SELECT topic, item, advice, coalesce(n, 0) AS n FROM (VALUES """ + ", ".join(
+    f"('{kind}', {i + 1}, '{text}')" for kind, texts in ops.PERFORMANCE_ADVICE.items() for i, text in enumerate(texts))
+    + ") v(topic, item, advice) LEFT JOIN counted USING (topic)")(
+    lambda t: ops.performance_advice(ops.product_performance(t.sales, t.catalog), ops.margin_performance(t.sales, t.catalog))
+    .withColumnRenamed("products", "n").withColumn("n", ops.F.col("n").cast("int")))
 
 query("category_performance", f"""
   c AS (SELECT category, sum(total_amount) AS r, sum(profit) AS p, CAST(sum(quantity) AS BIGINT) AS units_sold,
@@ -267,10 +272,21 @@ query("mom_growth_cumulative", _RESAMPLED + f""",
          CASE WHEN po <> 0 THEN {R('(orders - po) / po * 100')} END AS orders_growth, {R('running')} AS cumulative_revenue,
          revenue = (SELECT max(revenue) FROM m) AS is_best, revenue = (SELECT min(revenue) FROM m) AS is_worst FROM m""")(
     lambda t: ops.mom_growth_cumulative(t.sales))
-query("category_month_pivot", "SELECT strftime(order_date, '%Y-%m') AS month, " + ", ".join(
-    R(f"coalesce(sum(total_amount) FILTER (category = '{c}'), 0)") + f' AS "{c}"' for c in CATEGORIES)
-    + " FROM sales JOIN catalog USING (product_id) GROUP BY 1")(
-    lambda t: ops.category_month_pivot(t.sales, t.catalog, CATEGORIES))
+
+
+def _category_months(t):
+    """The pivot over every category of the product dimension, shown in long form."""
+    names = sorted(r[0] for r in t.catalog.select("category").distinct().collect())  # one row per category
+    return ops.category_month_pivot(t.sales, t.catalog, names).unpivot(["month"], names, "category", "revenue")
+
+
+query("category_month_pivot", f"""
+  m AS (SELECT DISTINCT strftime(order_date, '%Y-%m') AS month FROM sales JOIN catalog USING (product_id)),
+  c AS (SELECT DISTINCT category FROM catalog),
+  r AS (SELECT strftime(order_date, '%Y-%m') AS month, category, sum(total_amount) AS revenue
+        FROM sales JOIN catalog USING (product_id) GROUP BY 1, 2)
+  SELECT month, category, {R('coalesce(revenue, 0)')} AS revenue FROM m CROSS JOIN c LEFT JOIN r USING (month, category)""")(
+    _category_months)
 query("top_categories", f"""
   SELECT category, {R('sum(total_amount)')} AS revenue FROM sales JOIN catalog USING (product_id)
   GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")(lambda t: ops.top_categories(t.sales, t.catalog))

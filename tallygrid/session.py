@@ -36,13 +36,15 @@ def local_session(app: str = "tallygrid", cores: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only when
-    that is unset (local tests) does this pick a scratch folder of its own.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session, where the driver and the
+    executors are one process, may go without and gets a folder of its own; any other session without it is an error.
     """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
+        if not shared and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallygrid-ckpt-"))
         current = context.getCheckpointDir()
     return current

@@ -6,7 +6,7 @@ bad value becomes a default or null instead of changing a column's type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import safe_cast
 
@@ -31,16 +31,25 @@ ITEM_COLUMNS = {
     "Returned": "returned", "Refund_Amount": "refund_amount"}
 SELLER_COLUMNS = {
     "SellerID": "seller_id", "SellerName": "seller_name", "SellerRating": "seller_rating", "Location": "location"}
+CORRUPT = "corrupt_record"
 TRUE_WORDS = ["true", "1", "yes"]
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with every column as text."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """Header CSV with every column as text. A line with too few or too many fields is kept whole in ``CORRUPT``."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            .schema(schema).csv(path))
+
+
+def malformed_lines(raw: DataFrame) -> DataFrame:
+    """Lines of a raw file that don't have the header's number of fields. A count needs them written or cached first."""
+    return raw.where(F.col(CORRUPT).isNotNull()).select(*raw.columns)
 
 
 def _renamed(raw: DataFrame, names: dict[str, str]) -> DataFrame:
-    return raw.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in raw.columns])
+    return raw.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in raw.columns if c != CORRUPT])
 
 
 def _number(column: str) -> Column:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming.envelope import TOPICS, encode_events
 
+# Fixed value: the consumer group that existing deployments use.
 GROUP = "inventory-manager"
 
 
 def source_options(servers: str, topics: list[str] | None = None, group: str = GROUP, start: str = "latest",
-                   max_per_batch: int | None = None) -> dict[str, str]:
+                   max_per_batch: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Options of the source. Lost offsets stop the query unless ``fail_on_data_loss`` is off."""
     options = {"kafka.bootstrap.servers": servers, "subscribe": ",".join(topics or sorted(set(TOPICS.values()))),
-               "kafka.group.id": group, "startingOffsets": start, "failOnDataLoss": "false"}
+               "kafka.group.id": group, "startingOffsets": start, "failOnDataLoss": str(fail_on_data_loss).lower()}
     if max_per_batch is not None:
         options["maxOffsetsPerTrigger"] = str(max_per_batch)
     return options

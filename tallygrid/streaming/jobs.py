@@ -57,19 +57,24 @@ def dispatch_events(handlers: dict[str, Sequence[Handler]], default: Sequence[Ha
                     on_error: Callable[[str, int, Exception], None] | None = None) -> Handler:
     """Batch sink that gives each handler the events of its type.
 
-    Default handlers get every event. A failing handler is reported and the rest still run.
+    Default handlers get every event. A failing handler is reported and the rest still run. Without ``on_error``
+    the first failure is raised after the rest have run, so the batch is not lost: the query stops before it.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             work = [(kind, batch.where(F.col("event_type") == kind), h) for kind, hs in handlers.items() for h in hs]
             work += [("*", batch, h) for h in default]
+            failures = []
             for kind, rows, handler in work:
                 try:
                     handler(rows, batch_id)
                 except Exception as problem:  # noqa: BLE001 - one handler must not stop the others
+                    failures.append(problem)
                     if on_error:
                         on_error(kind, batch_id, problem)
+            if failures and not on_error:
+                raise failures[0]
         finally:
             batch.unpersist()
     return run
@@ -81,7 +86,7 @@ def publish_or_quarantine(publish: Handler, quarantine: str) -> Handler:
         try:
             publish(batch, batch_id)
         except Exception as problem:  # noqa: BLE001 - any failure keeps the events
-            (batch.withColumn("reason", F.lit(str(problem)[:500]))
+            (batch.withColumn("reason", F.lit(str(problem)))
              .write.mode("overwrite").parquet(batch_folder(quarantine, batch_id)))
     return run
 

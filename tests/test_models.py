@@ -170,3 +170,20 @@ def test_constant_series_do_not_fail(spark):
     fitted = diagnostics.calendar_residuals(history(spark, [5.0] * 40))
     for test in (diagnostics.breusch_pagan, diagnostics.cooks_distance):
         test(fitted).collect()
+
+
+def test_steep_series_is_not_clamped():
+    """A series that keeps growing is forecast to keep growing."""
+    from tallygrid.operators.fleet import seasonal_ar_fit, seasonal_ar_path
+    y = np.expm1(np.arange(140) * 0.1 + 0.01 * np.sin(np.arange(140)))
+    mean, lower, upper = seasonal_ar_path(seasonal_ar_fit(y, (1, 1, 0), (0, 0, 0, 1)), 60)
+    assert np.isfinite(upper).all() and (np.diff(mean) > 0).all() and mean[-1] > 20 * y.max()
+
+
+def test_growth_from_zero(spark):
+    from pyspark.sql import Window
+
+    from tallygrid.operators.features import _growth
+    rows = spark.createDataFrame([(1, 0), (2, 0), (3, 5), (4, 10)], "d int, quantity int")
+    got = [r[1] for r in rows.select("d", _growth(1)(Window.orderBy("d"))).orderBy("d").collect()]
+    assert got == [0.0, 0.0, 10.0, 1.0]

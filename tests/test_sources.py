@@ -135,3 +135,16 @@ def test_broker_options():
     assert source["startingOffsets"] == "latest" and source["maxOffsetsPerTrigger"] == "500"
     sink = messages.sink_options("host:9092")
     assert (sink["kafka.acks"], sink["kafka.retries"]) == ("all", "3")
+
+
+def test_malformed_csv_lines_are_kept(spark, tmp_path):
+    path = tmp_path / "sellers.csv"
+    path.write_text("SellerID,SellerName,SellerRating,Location\ns1,A,4.5,X\ns2,B,4.0,Y,surplus\ns3,C\n")
+    raw = csv_tables.read_raw(spark, str(path)).cache()
+    assert sorted(r[csv_tables.CORRUPT] for r in csv_tables.malformed_lines(raw).collect()) == ["s2,B,4.0,Y,surplus", "s3,C"]
+    assert csv_tables.sellers_from_raw(raw).count() == 3
+
+
+def test_lost_offsets_stop_the_source():
+    assert messages.source_options("host:9092")["failOnDataLoss"] == "true"
+    assert messages.source_options("host:9092", fail_on_data_loss=False)["failOnDataLoss"] == "false"

@@ -93,6 +93,18 @@ def test_failing_handler_does_not_stop_the_rest(spark):
     assert seen == [("low", 1), ("all", 2)] and failures == [("stock.low", "no")]
 
 
+def test_failure_without_callback_stops_the_batch(spark):
+    seen = []
+
+    def broken(rows, batch_id):
+        raise RuntimeError("no")
+
+    sink = jobs.dispatch_events({"stock.low": [broken]}, [lambda rows, b: seen.append(rows.count())])
+    with pytest.raises(RuntimeError):
+        sink(events_frame(spark, [(1, "stock.low", T0, {})]), 0)
+    assert seen == [1]
+
+
 def test_quarantine_drains_in_batches(spark, tmp_path):
     def down(rows, batch_id):
         raise ConnectionError("broker down")
