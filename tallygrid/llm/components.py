@@ -23,18 +23,15 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = scratch.keep(both.groupBy("a").agg(F.min("b").alias("low")).select(
-            F.col("a").alias("n"), F.least("a", "low").alias("low")), "low")
+        low = both.groupBy(F.col("a").alias("n")).agg(F.least("n", F.min("b")).alias("low"))
         large = both.where(F.col("b") > F.col("a")).join(low, F.col("a") == F.col("n")).select(
             F.col("b").alias("a"), F.col("low").alias("b"))
-        starred = scratch.keep(_edges(large), "large")
-        down = scratch.keep(starred.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), "low"), "low")
-        small = starred.join(down, F.col("a") == F.col("n"))
-        small = small.select("a", F.col("low").alias("b")).unionByName(
-            small.select(F.col("b").alias("a"), F.col("low").alias("b")))
-        fresh = scratch.keep(_edges(small), "edges")
+        starred = scratch.keep(_edges(large), "starred")
+        down = starred.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low"))
+        small = starred.join(down, F.col("a") == F.col("n")).select("b", "low", F.explode(F.array("a", "b")).alias("x"))
+        fresh = scratch.keep(_edges(small.select(F.col("x").alias("a"), F.col("low").alias("b"))), "edges")
         state = fresh.agg(F.count(F.lit(1)), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(edges, low, starred, down)
+        scratch.drop(edges, starred)
         edges = fresh
         if state == seen:
             return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(

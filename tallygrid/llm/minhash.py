@@ -3,9 +3,10 @@
 Two permutations make every signature coordinate: the first scatters shingles over a ring of slots, the second is
 read from each slot onward, so coordinate k of a shingle is the second permutation shifted by k. A shingle's whole
 signature is then one contiguous stretch of a table. Bands of the signature name buckets; documents of a bucket are
-compared with the bucket's hub, and buckets that still hold several components go on with a next hub, until all
-their pairs are compared or lie in one component. Links are confirmed by the exact Jaccard similarity of the full
-shingle sets. Documents with equal sets are one class, represented by its smallest id.
+compared with the bucket's hub, which joins most of a group without listing its pairs. In buckets that still hold
+several components, the members of different components are compared, block by block, and only links that join two
+components come out. Links are confirmed by the exact Jaccard similarity of the full shingle sets. Documents with
+equal sets are one class, represented by its smallest id.
 
 Defined cases: a text without words is empty and linked with nothing; one with fewer words than the shingle width
 is a single shingle. Repeated rows of one id are one document if their texts are equal; otherwise the row with the
@@ -29,8 +30,7 @@ from .words import mix, shingle_hashes, slices, word_hashes
 RING = 1 << 20
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 meets in no band with probability 3e-6
 SEED = 20240229
-FULL_PAIRS = 16  # pairs, counted once a bucket, per candidate document below which all that are left are compared at once
-HUBS = 8  # hubs of a bucket in a round after the first
+BLOCK_DOCS = 1024  # documents of a bucket that meet in one task: two blocks of as many at most
 
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
@@ -120,6 +120,31 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "_x", "_y").mapInArrow(check, "a long, b long")
 
 
+def compare_block(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the documents of one meeting of a bucket, enough to join all components that it can join."""
+    table = table.combine_chunks()
+    ids, component = table["doc_id"].to_numpy(), table["component"].to_numpy().copy()
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["shingles"].chunk(0)] if table.num_rows else []
+    size = np.array([len(s) for s in sets])
+    links = []
+    order = np.argsort(size, kind="stable")
+    ordered = size[order]
+    for place, x in enumerate(order):
+        # partners are no smaller, and no larger than the threshold allows
+        last = int(np.searchsorted(ordered, size[x] * 100 // percent, side="right"))
+        others = order[place + 1:last]
+        for y in others[component[others] != component[x]]:
+            if component[x] == component[y]:  # joined meanwhile
+                continue
+            at = np.searchsorted(sets[y], sets[x])
+            common = int((sets[y][np.minimum(at, size[y] - 1)] == sets[x]).sum())
+            if 100 * common >= percent * (size[x] + size[y] - common):
+                links.append((ids[x], ids[y]))
+                component[component == component[y]] = component[x]
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80,
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
@@ -138,50 +163,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     candidates = members.select(F.col("doc_id").alias("_id")).distinct()
     sets = scratch.keep(set_table(texts.join(candidates, F.col("doc_id") == F.col("_id"), "left_semi"), width)
                         .dropDuplicates(["doc_id", "shingles"]), "sets")
-    documents = sets.count()
+    # Round 1: every member is compared with the hub of its bucket.
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent  # a union is no smaller than its larger set
-    links, labels, hubs_at_once, open_members = None, None, 1, members.withColumn("component", F.col("doc_id"))
-    while True:
-        # only buckets whose members lie in several components go on
-        parts = open_members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-        across = scratch.keep(parts.groupBy(F.col("bucket").alias("_k")).agg(
-            F.expr("(sum(m) * sum(m) - sum(m * m)) / 2").alias("pairs")).where("pairs > 0"), "across")
-        left = across.agg(F.sum("pairs")).first()[0]
-        if not left:
-            break
-        inside = scratch.keep(open_members.join(across, F.col("bucket") == F.col("_k")).select(
-            "bucket", "doc_id", "n", "component", F.pmod(F.xxhash64("doc_id"), F.lit(hubs_at_once)).alias("slot")), "inside")
-        last = left <= FULL_PAIRS * documents
-        if last:
-            hubs = inside.select(F.col("bucket").alias("_k"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"),
-                                 F.col("component").alias("hub_component"))
-        else:
-            # a hub is compared with all members outside its component and then leaves the bucket
-            hubs = scratch.keep(inside.groupBy(F.col("bucket").alias("_k"), F.col("slot").alias("_s")).agg(
-                F.min("doc_id").alias("hub"), F.min_by("n", "doc_id").alias("hub_n"),
-                F.min_by("component", "doc_id").alias("hub_component")), "hubs")
-        pairs = inside.join(hubs, (F.col("bucket") == F.col("_k")) & (F.col("component") != F.col("hub_component")) & near)
-        pairs = scratch.keep(pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "pairs")
-        found = scratch.keep(confirm(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = scratch.keep(connected_components(links, scratch), "labels")
-        if last:
-            break
-        rest = inside.join(hubs.select("_k", "_s", "hub"), (F.col("bucket") == F.col("_k")) & (F.col("slot") == F.col("_s"))).where(
-            "doc_id <> hub").select("bucket", "doc_id", "n")
-        name = labels.select("id", "component")
-        open_members = scratch.keep(rest.join(name, F.col("doc_id") == F.col("id"), "left").select(
-            "bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "open")
-        scratch.drop(across, inside, hubs, pairs)
-        hubs_at_once = HUBS
+    hubs = members.groupBy(F.col("bucket").alias("_k")).agg(F.min("doc_id").alias("hub"), F.min_by("n", "doc_id").alias("hub_n"))
+    pairs = members.join(hubs, (F.col("bucket") == F.col("_k")) & (F.col("doc_id") != F.col("hub")) & near)
+    pairs = scratch.keep(pairs.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    links = scratch.keep(confirm(pairs, sets, percent), "links")
+    labels = scratch.keep(connected_components(links, scratch), "labels")
+    # Round 2: buckets whose members still lie in several components compare the members of different ones.
+    known = labels.select(F.col("id").alias("_id"), "component")
+    placed = scratch.keep(members.join(known, F.col("doc_id") == F.col("_id"), "left").select(
+        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    # a bucket of two is done: its other member has met the hub
+    state = placed.groupBy(F.col("bucket").alias("_k")).agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2")
+    parts = F.ceil(F.col("m") / BLOCK_DOCS).cast("int")
+    rest = placed.join(state.select("_k", parts.alias("parts")), F.col("bucket") == F.col("_k")).select(
+        "bucket", "doc_id", "component", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int").alias("part"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(
+        F.least(i, F.col("part")).alias("i"), F.greatest(i, F.col("part")).alias("j")))
+    blocks = rest.withColumn("meet", F.explode(meets)).select("bucket", "meet.i", "meet.j", "doc_id", "component")
+    held = blocks.join(sets.select(F.col("doc_id").alias("_a"), "shingles"), F.col("doc_id") == F.col("_a")).drop("_a")
+    more = scratch.keep(held.groupBy("bucket", "i", "j").applyInArrow(
+        lambda table: compare_block(table, percent), "a long, b long").distinct(), "links")
+    if not more.isEmpty():
+        labels = scratch.keep(connected_components(links.unionByName(more), scratch), "labels")
 
     classed = classes.select(F.col("set_a").alias("_sa"), F.col("set_b").alias("_sb"), F.col("n").alias("_n"), "rep")
-    if labels is not None:
-        classed = classed.join(labels.select(F.col("id"), F.col("component")), F.col("rep") == F.col("id"), "left").select(
-            "_sa", "_sb", "_n", F.coalesce("component", "rep").alias("component"))
-    else:
-        classed = classed.select("_sa", "_sb", "_n", F.col("rep").alias("component"))
-    classed = scratch.keep(classed, "classed")
+    classed = scratch.keep(classed.join(labels.select("id", "component"), F.col("rep") == F.col("id"), "left").select(
+        "_sa", "_sb", "_n", F.coalesce("component", "rep").alias("component")), "classed")
     narrow = signed.select("doc_id", "n", "set_a", "set_b")
     joined = narrow.join(classed, (F.col("set_a") == F.col("_sa")) & (F.col("set_b") == F.col("_sb")) & (F.col("n") == F.col("_n"))
                          & F.col("doc_id").isNotNull(), "left")
