@@ -1,7 +1,8 @@
 """Repeated-substring removal by external induced sorting of sampled suffixes.
 
 A byte is removed if a string of ``LENGTH`` bytes over it also starts earlier. Sorting every suffix of a corpus would
-take many times its size on disk, so the induction starts from sampled suffixes, as induced sorting does:
+take many times its size on disk, so the induction starts from sampled suffixes, as induced sorting does. Whole texts
+that are equal to an earlier one go first: all their strings start earlier.
 
 1. Sample. The suffix that starts at the smallest hashed ``SEED``-mer of a ``LENGTH``-byte window is an anchor. Equal
    windows choose the same place, so a repeated string has the same anchor, at the same distance, wherever it stands.
@@ -37,6 +38,8 @@ LENGTH, SEED = 100, 38
 REACH = LENGTH - SEED  # the farthest an anchor lies behind the start of its window
 WIDTH = REACH + LENGTH
 FILTER_BITS = 27
+BROADCAST_IDS = 1_000_000  # ids of whole copies that are sent to every task; more go through a shuffled join
+WHOLE = -1  # a span that stands for the whole text
 PIECE, BATCH = 4 << 20, 40_000
 
 
@@ -252,12 +255,24 @@ def repeat_marks(tuples_: DataFrame) -> DataFrame:
     return tuples_.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, "doc_id long, span long")
 
 
+def whole_copies(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id) of the documents whose text is that of a smaller id."""
+    keyed = scratch.keep(texts.where("doc_id is not null").select(
+        "doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("k")), "keyed")
+    groups = keyed.groupBy(F.col("k").alias("_k")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return scratch.keep(keyed.join(groups, F.col("k") == F.col("_k")).where("doc_id > low").select("doc_id").distinct(), "copies")
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text bytes kept, n_bytes, n_removed, n_spans) of every document."""
     scratch = Scratch(spark, "suffixes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    repeats = repeat_filter(seed_counts(texts.where("doc_id is not null")))
-    marks = repeat_marks(tuples(texts, spark, repeats)).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    copies = whole_copies(texts, scratch)
+    marked = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    first = texts.where("doc_id is not null").join(marked, "doc_id", "left_anti")
+    repeats = repeat_filter(seed_counts(first))
+    marks = repeat_marks(tuples(first, spark, repeats)).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    marks = marks.unionByName(copies.select("doc_id", F.array(F.lit(WHOLE).cast("long")).alias("spans")))
     marks = scratch.keep(marks.withColumnRenamed("doc_id", "_id"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +283,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 own = data[offsets[i]:offsets[i + 1]]
                 if spans.is_valid:
                     code = spans.values.to_numpy()
-                    depth = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(depth, code // 512, 1)
-                    np.add.at(depth, code // 512 + code % 512, -1)
-                    gone = depth.cumsum()[:-1] > 0
+                    if code[0] == WHOLE:
+                        gone = np.full(len(own), len(own) >= LENGTH)
+                    else:
+                        depth = np.zeros(len(own) + 1, np.int64)
+                        np.add.at(depth, code // 512, 1)
+                        np.add.at(depth, code // 512 + code % 512, -1)
+                        gone = depth.cumsum()[:-1] > 0
                     removed[i] = gone.sum()
                     runs[i] = (gone & ~np.concatenate([[False], gone[:-1]])).sum()
                     own = own[~gone]
