@@ -6,7 +6,10 @@ that are equal to an earlier one go first: all their strings start earlier.
 
 1. Sample. The suffix that starts at the smallest hashed ``SEED``-mer of a ``LENGTH``-byte window is an anchor. Equal
    windows choose the same place, so a repeated string has the same anchor, at the same distance, wherever it stands.
-   Anchors whose seed occurs once are dropped by a fixed-size bit filter; false positives only cost work.
+   Anchors whose seed occurs once are dropped by a fixed-size bit filter; false positives only cost work. A second
+   filter holds what is left against longer strings: a window has at least half of its other bytes on one side of the
+   seed, so a repeated window repeats the seed with that half. A side that occurs once is cut off, an anchor without
+   either is dropped. Chance repeats of short seeds, which grow faster than the corpus, end here.
 2. Deal. An anchor's tuple - its seed, places and the bytes around it - goes to the shard of its seed. The engine's
    external sort is the disk-backed queue: tuples arrive in seed order from spilled runs, and a task holds a bounded
    batch of whole seeds at a time, however large its shard is.
@@ -37,6 +40,7 @@ from .words import BASE, INVERSE, buffers, mix, powers, slices
 LENGTH, SEED = 100, 38
 REACH = LENGTH - SEED  # the farthest an anchor lies behind the start of its window
 WIDTH = REACH + LENGTH
+HALF = REACH // 2
 FILTER_BITS = 27
 BROADCAST_IDS = 1_000_000  # ids of whole copies that are sent to every task; more go through a shuffled join
 WHOLE = -1  # a span that stands for the whole text
@@ -103,32 +107,79 @@ def repeat_filter(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def tuples(docs: DataFrame, spark: SparkSession, repeats: np.ndarray) -> DataFrame:
-    """(seed, left, right, around, docs, places): the anchors that may repeat, equal surroundings of a batch combined."""
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - FILTER_BITS)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def surroundings(column: pa.Array, repeats: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(seed, left, right, around, row, start) of the anchors whose seed may repeat, a slice of texts at a time.
+
+    ``left`` and ``right`` are how far the text goes around the anchor, REACH and LENGTH at most.
+    """
+    for row, _, data, offsets in slices(column, 1 << 20):
+        place, seed = anchors(data, offsets)
+        keep = in_filter(repeats, seed)
+        place, seed = place[keep], seed[keep]
+        if not len(place):
+            continue
+        text = np.searchsorted(offsets, place, side="right") - 1
+        left = np.minimum(place - offsets[text], REACH)
+        right = np.minimum(offsets[text + 1] - place, LENGTH)
+        at = place[:, None] + np.arange(-REACH, LENGTH)
+        around = data[np.clip(at, 0, len(data) - 1)]
+        blank(around, left, right)
+        yield seed, left, right, around, row + text, place - offsets[text]
+
+
+def blank(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Zero what lies beyond the ends."""
+    at = np.arange(-REACH, LENGTH)
+    around[(at < -left[:, None]) | (at >= right[:, None])] = 0
+
+
+def sides(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, whether there is one) of the seed with the half before it, then with the half behind it."""
+    for salt, lo, there in ((1, REACH - HALF, left >= HALF), (2, REACH, right >= SEED + HALF)):
+        yield row_hashes(around[:, lo:lo + SEED + HALF], np.full(len(around), salt, np.uint64)), there
+
+
+def side_counts(docs: DataFrame, spark: SparkSession, repeats: np.ndarray) -> DataFrame:
+    """(seed, n): hashes of the longer strings around the anchors that may repeat, counted per batch."""
     shared = spark.sparkContext.broadcast(repeats)  # of fixed size
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [key[there] for _, left, right, around, _, _ in surroundings(batch.column(0), shared.value)
+                     for key, there in sides(around, left, right)]
+            key, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["seed", "n"])
+    return docs.select("text").mapInArrow(count, "seed long, n long")
+
+
+def tuples(docs: DataFrame, spark: SparkSession, repeats: np.ndarray, longer: np.ndarray) -> DataFrame:
+    """(seed, left, right, around, docs, places): the anchors that may repeat, equal surroundings of a batch combined."""
+    shared = spark.sparkContext.broadcast((repeats, longer))  # of fixed size
+
+    def trimmed(part: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """Without the anchors whose sides do not repeat, and only as far as windows over a repeating side reach."""
+        seed, left, right, around, row, start = part
+        before, behind = (there & in_filter(shared.value[1], key) for key, there in sides(around, left, right))
+        left = np.where(behind & ~before, np.minimum(left, HALF), left)
+        right = np.where(before & ~behind, np.minimum(right, LENGTH - HALF), right)
+        keep = before | behind
+        seed, left, right, around, row, start = (c[keep] for c in (seed, left, right, around, row, start))
+        blank(around, left, right)
+        return seed, left, right, around, row, start
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = []
-            for row, _, data, offsets in slices(batch.column(1), 1 << 20):
-                place, seed = anchors(data, offsets)
-                bit = seed >> np.uint64(64 - FILTER_BITS)
-                keep = (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                place, seed = place[keep], seed[keep]
-                if not len(place):
-                    continue
-                text = np.searchsorted(offsets, place, side="right") - 1
-                left = np.minimum(place - offsets[text], REACH)
-                right = np.minimum(offsets[text + 1] - place, LENGTH)
-                at = place[:, None] + np.arange(-REACH, LENGTH)
-                inside = (at >= (place - left)[:, None]) & (at < (place + right)[:, None])
-                around = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
-                parts.append((seed, left, right, around, ids[row + text], place - offsets[text]))
-            if not parts:
+            parts = [trimmed(p) for p in surroundings(batch.column(1), shared.value[0])]
+            if not sum(len(p[0]) for p in parts):
                 continue
-            seed, left, right, around, doc, place = (np.concatenate(c) for c in zip(*parts))
+            seed, left, right, around, row, place = (np.concatenate(c) for c in zip(*parts))
+            doc = ids[row]
             same = distinct_rows(around, left, right)
             order = np.argsort(same, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
@@ -147,17 +198,22 @@ def tuples(docs: DataFrame, spark: SparkSession, repeats: np.ndarray) -> DataFra
         gather, "seed long, left int, right int, around binary, docs array<long>, places array<long>")
 
 
-def distinct_rows(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A number for each row, equal for equal surroundings and ends."""
-    wide = np.zeros((len(around), -(-WIDTH // 8) * 8), np.uint8)
-    wide[:, :WIDTH] = around
+def row_hashes(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A number for each row of bytes, begun with ``key``."""
+    width = rows.shape[1]
+    wide = np.zeros((len(rows), -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = rows
     words = wide.view(np.uint64)
-    key = mix(left.astype(np.uint64) * np.uint64(1000) + right.astype(np.uint64))
     for j in range(words.shape[1]):
         key = mix(key * BASE + words[:, j])
     return key
 
 
+def distinct_rows(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each row, equal for equal surroundings and ends."""
+    return row_hashes(around, mix(left.astype(np.uint64) * np.uint64(1000) + right.astype(np.uint64)))
+
+
 def induce(around: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """For distinct surroundings with the rank of their first place: whether the string that starts d bytes before the
     anchor (column d) also starts earlier, among the given ones."""
@@ -271,7 +327,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marked = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     first = texts.where("doc_id is not null").join(marked, "doc_id", "left_anti")
     repeats = repeat_filter(seed_counts(first))
-    marks = repeat_marks(tuples(first, spark, repeats)).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    longer = repeat_filter(side_counts(first, spark, repeats))
+    marks = repeat_marks(tuples(first, spark, repeats, longer)).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     marks = marks.unionByName(copies.select("doc_id", F.array(F.lit(WHOLE).cast("long")).alias("spans")))
     marks = scratch.keep(marks.withColumnRenamed("doc_id", "_id"), "marks")
 
