@@ -135,6 +135,12 @@ query("duplicate_rows", f"""
   SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates,
          {R('sum(n - 1) / sum(n) * 100')} AS duplicate_pct FROM g""")(
     lambda t: ops.duplicate_rows(t.order_items.select("product_id", "quantity")))
+query("duplicate_rows_whole", f"""
+  g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+        l_discount, l_tax, l_returnflag, l_shipdate)
+  SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates,
+         {R('sum(n - 1) / sum(n) * 100')} AS duplicate_pct FROM g""")(
+    lambda t: ops.duplicate_rows(t.order_items))
 query("duplicate_keys", _SOILED + " UNION ALL ".join(
     f" SELECT '{n}' AS table_name, count(*) - count(DISTINCT {k}) AS duplicates FROM s_{n}"
     for n, k in (("customers", "customer_id"), ("products", "product_id"), ("orders", "order_id"), ("sellers", "seller_id"))))(
@@ -182,6 +188,18 @@ query("mad_outliers", _LINES + f"""
          count(*) FILTER (abs(0.6745::DOUBLE * (total_amount - median) / CASE WHEN mad <> 0 THEN mad ELSE 1 END) > 1.5) AS outliers
   FROM x JOIN m USING (category) JOIN d USING (category) GROUP BY 1""")(
     lambda t: ops.mad_outliers(_lines(t), "total_amount", ["category"], 1.5))
+query("zscore_outliers_stated", _LINES + f"""
+  b AS (SELECT category, avg(total_amount) AS m, stddev_pop(total_amount) AS s FROM x GROUP BY 1)
+  SELECT category, {R('max(m)', 4)} AS mean, {R('max(s)', 4)} AS std, count(*) AS rows,
+         count(*) FILTER (abs(total_amount - m) / s > 3) AS outliers FROM x JOIN b USING (category) GROUP BY 1""")(
+    lambda t: ops.zscore_outliers(_lines(t), "total_amount", ["category"]))
+query("mad_outliers_stated", _LINES + f"""
+  m AS (SELECT category, quantile_cont(total_amount, 0.5) AS median FROM x GROUP BY 1),
+  d AS (SELECT category, quantile_cont(abs(total_amount - median), 0.5) AS mad FROM x JOIN m USING (category) GROUP BY 1)
+  SELECT category, {R('max(median)', 4)} AS median, {R('max(mad)', 4)} AS mad, count(*) AS rows,
+         count(*) FILTER (abs(0.6745::DOUBLE * (total_amount - median) / CASE WHEN mad <> 0 THEN mad ELSE 1 END) > 3.5) AS outliers
+  FROM x JOIN m USING (category) JOIN d USING (category) GROUP BY 1""")(
+    lambda t: ops.mad_outliers(_lines(t), "total_amount", ["category"]))
 query("outlier_treatments", _LINES + f"""
   q AS (SELECT category, quantile_cont(total_amount, 0.25) AS q1, quantile_cont(total_amount, 0.5) AS md,
                quantile_cont(total_amount, 0.75) AS q3 FROM x GROUP BY 1),
