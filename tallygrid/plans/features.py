@@ -112,6 +112,24 @@ query("training_frame", f"""
         "product_id", "order_id", "line_no", "quantity", *[rnd(c, 4).alias(c) for c in (
             "quantity_lag_7", "quantity_lag_30", "quantity_rolling_mean_7", "quantity_mean", "quantity_std")],
         "order_id_count", "quantity_future_7d"))
+query("evaluate_rolling_mean", f"""
+  s AS (SELECT *, CASE WHEN count(*) {_rows(7)} >= 7 THEN avg(quantity) {_rows(7)} ELSE 0 END AS p,
+               CAST(lead(quantity, 7) OVER w AS DOUBLE) AS a FROM sales WINDOW {_W}),
+  e AS (SELECT a, p, a - p AS e, a - lag(a) OVER w AS step FROM s WHERE a IS NOT NULL WINDOW {_W}),
+  m AS (SELECT count(*) AS rows, avg(abs(e)) AS mae, avg(e * e) AS mse, 1 - sum(e * e) / (var_pop(a) * count(*)) AS r2,
+               avg(abs(e / nullif(a, 0))) * 100 AS mape, avg(2 * abs(e) / nullif(abs(a) + abs(p), 0)) * 100 AS smape,
+               avg(abs(step)) AS step, avg(e) AS bias, stddev_pop(e) AS spread FROM e)
+  SELECT rows, {R('mae', 4)} AS mae, {R('mse', 4)} AS mse, {R('sqrt(mse)', 4)} AS rmse, {R('r2', 4)} AS r2, {R('mape')} AS mape,
+         {R('smape')} AS smape, {R('mae / step', 4)} AS mase, {R('bias', 4)} AS mean_residual, {R('spread', 4)} AS residual_std,
+         CASE WHEN mape < 10 THEN 'Excellent' WHEN mape < 20 THEN 'Good' WHEN mape < 30 THEN 'Acceptable'
+              ELSE 'Needs Improvement' END AS performance FROM m""")(
+    lambda t: training.evaluate_predictions(training.training_frame(_lines(t)).withColumn("predicted", F.col("quantity_rolling_mean_7"))))
+query("ordered_split", """
+  o AS (SELECT product_id, row_number() OVER (ORDER BY product_id, order_date, order_id, line_no, quantity, unit_price) AS p,
+               count(*) OVER () AS t FROM sales)
+  SELECT product_id, count(*) AS rows, count(*) FILTER (p > floor(t * 0.8::DOUBLE)) AS test_rows FROM o GROUP BY 1""")(
+    lambda t: training.split_ordered(_lines(t)).groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("is_test"), 1)).alias("test_rows")))
 query("date_split", """
   d AS (SELECT order_date, count(*) AS n FROM sales GROUP BY 1),
   c AS (SELECT order_date, sum(n) OVER (ORDER BY order_date) AS c, sum(n) OVER () AS t FROM d),
@@ -128,10 +146,16 @@ query("business_impact", f"""
         F.avg(F.abs(F.col("quantity") - 25)).alias("mae"), F.count(F.lit(1)).alias("rows"))))
 
 
-def _train(t, trees=20, depth=8):
-    """Forest over every line, at a size that suits a quick check."""
-    frame = materialise(training.split_by_date(training.training_frame(_lines(t))))
-    return training.train_demand_forest(frame.where(~F.col("is_test")), trees, depth), frame.where("is_test")
+_FITTED: dict = {}
+
+
+def _train(t):
+    """Forest over every line; the queries of one session over one folder share the fit."""
+    key = t.spark.sparkContext.applicationId, t.folder
+    if key not in _FITTED:
+        frame = materialise(training.split_by_date(training.training_frame(_lines(t))))
+        _FITTED[key] = training.train_demand_forest(frame.where(~F.col("is_test"))), frame.where("is_test")
+    return _FITTED[key]
 
 
 def _evaluate(t):
@@ -143,4 +167,4 @@ query("train_demand_forest")(lambda t: (lambda m, test: m.transform(test).select
     "product_id", "order_id", "line_no", training.TARGET, rnd("predicted", 4).alias("predicted")))(*_train(t)))
 query("evaluate_forest")(_evaluate)
 query("feature_importance")(lambda t: training.feature_importance(_train(t)[0], t.spark))
-query("time_series_cv")(lambda t: training.time_series_cv(materialise(training.training_frame(_lines(t))), 5, 10, 6))
+query("time_series_cv")(lambda t: training.time_series_cv(materialise(training.training_frame(_lines(t)))))
