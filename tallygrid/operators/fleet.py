@@ -37,11 +37,12 @@ def _lagged(values: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
     return np.column_stack([values[start - k:len(values) - k] for k in lags]) if lags else np.empty((len(values) - start, 0))
 
 
-def seasonal_ar_fit(y: np.ndarray, order: Sequence[int], seasonal: Sequence[int]) -> dict:
+def seasonal_ar_fit(y: np.ndarray, order: Sequence[int], seasonal: Sequence[int], skip: int = 0) -> dict:
     """Two-stage least squares for a seasonal ARMA on the differenced log series.
 
     A long autoregression gives the shocks; the series is then regressed on its
-    own lags and the lagged shocks.
+    own lags and the lagged shocks. The criterion leaves out the first ``skip``
+    points, so that orders compared with one ``skip`` are judged on the same points.
     """
     (p, d, q), (sp, sd, sq, period) = order, seasonal
     level = np.log1p(np.maximum(y, 0.0))
@@ -64,9 +65,12 @@ def seasonal_ar_fit(y: np.ndarray, order: Sequence[int], seasonal: Sequence[int]
     residuals = w[start:] - design @ coef
     n, k = len(residuals), design.shape[1]
     sigma2 = float(residuals @ residuals) / max(n - k, 1)
+    judged = residuals[max(n - max(len(y) - skip, 0), 0):] if skip else residuals
+    if skip and len(judged) < k + 8:
+        raise ValueError(f"too few points: {len(y)}")
     return {"w": w, "level": level, "shocks": np.concatenate([shocks[:start], residuals]), "ar": ar, "ma": ma,
             "coef": coef, "sigma2": sigma2, "residuals": residuals, "order": order, "seasonal": seasonal,
-            "aic": n * np.log(max(float(residuals @ residuals) / n, 1e-300)) + 2 * (k + 1)}
+            "aic": len(judged) * np.log(max(float(judged @ judged) / len(judged), 1e-300)) + 2 * (k + 1)}
 
 
 def _path(fit: dict, steps: int, shock: float = 0.0) -> np.ndarray:
@@ -168,8 +172,11 @@ def seasonal_ar_grid(history: DataFrame, period: int = 52, p: Sequence[int] = (0
                      sq: Sequence[int] = (0, 1)) -> DataFrame:
     """Information criterion of every order for every series; one row per fit.
 
-    Each (series, order) pair is its own row, spread over the cluster.
+    Each (series, order) pair is its own row, spread over the cluster. All orders
+    are judged on the points that the largest one leaves.
     """
+    skip = max(d) + max(sd) * period + max(max(p) + max(q) + 2, 4, max(sp) * period, max(sq) * period)
+
     def axis(values: Sequence[int]):
         return F.explode(F.array(*[F.lit(v) for v in values]))
 
@@ -183,7 +190,7 @@ def seasonal_ar_grid(history: DataFrame, period: int = 52, p: Sequence[int] = (0
         out = []
         for y, *orders in zip(ys, p, d, q, sp, sd, sq):
             try:
-                out.append(seasonal_ar_fit(np.asarray(y, float), orders[:3], [*orders[3:], period])["aic"])
+                out.append(seasonal_ar_fit(np.asarray(y, float), orders[:3], [*orders[3:], period], skip)["aic"])
             except (ValueError, np.linalg.LinAlgError):
                 out.append(None)
         return pd.Series(out, dtype="float64")

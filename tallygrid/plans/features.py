@@ -103,14 +103,24 @@ query("scale_features", f"""
 query("training_frame", f"""
   s AS (SELECT *, coalesce(lag(quantity, 7) OVER w, 0) AS l7, coalesce(lag(quantity, 30) OVER w, 0) AS l30,
                CASE WHEN count(*) {_rows(7)} >= 7 THEN avg(quantity) {_rows(7)} ELSE 0 END AS m7,
+               CASE WHEN count(*) {_rows(7)} >= 7 THEN coalesce(stddev_samp(quantity) {_rows(7)}, 0) ELSE 0 END AS s7,
+               CASE WHEN count(*) {_rows(30)} >= 30 THEN avg(quantity) {_rows(30)} ELSE 0 END AS m30,
                lead(quantity, 7) OVER w AS target FROM sales WINDOW {_W}),
-  p AS (SELECT product_id, avg(quantity) AS qm, stddev_samp(quantity) AS qs, count(*) AS n FROM sales GROUP BY 1)
-  SELECT product_id, order_id, line_no, quantity, {R('l7', 4)} AS quantity_lag_7, {R('l30', 4)} AS quantity_lag_30,
-         {R('m7', 4)} AS quantity_rolling_mean_7, {R('qm', 4)} AS quantity_mean, {R('coalesce(qs, 0)', 4)} AS quantity_std,
+  p AS (SELECT product_id, avg(quantity) AS qm, stddev_samp(quantity) AS qs, min(quantity) AS lo, max(quantity) AS hi,
+               CAST(sum(quantity) AS BIGINT) AS total, avg(unit_price) AS pm, stddev_samp(unit_price) AS ps, count(*) AS n FROM sales GROUP BY 1)
+  SELECT product_id, order_id, line_no, quantity, {R('unit_price', 4)} AS unit_price, CAST(month(order_date) AS INTEGER) AS month,
+         CAST(day(order_date) AS INTEGER) AS day, CAST(isodow(order_date) - 1 AS INTEGER) AS day_of_week,
+         CAST(quarter(order_date) AS INTEGER) AS quarter, CAST(isodow(order_date) >= 6 AS INTEGER) AS is_weekend,
+         {R('l7', 4)} AS quantity_lag_7, {R('l30', 4)} AS quantity_lag_30, {R('m7', 4)} AS quantity_rolling_mean_7,
+         {R('s7', 4)} AS quantity_rolling_std_7, {R('m30', 4)} AS quantity_rolling_mean_30, {R('qm', 4)} AS quantity_mean,
+         {R('coalesce(qs, 0)', 4)} AS quantity_std, lo AS quantity_min, hi AS quantity_max, total AS quantity_sum,
+         {R('pm', 4)} AS unit_price_mean, {R('coalesce(ps, 0)', 4)} AS unit_price_std,
          n AS order_id_count, target AS quantity_future_7d FROM s JOIN p USING (product_id) WHERE target IS NOT NULL""")(
     lambda t: training.training_frame(_lines(t)).select(
-        "product_id", "order_id", "line_no", "quantity", *[rnd(c, 4).alias(c) for c in (
-            "quantity_lag_7", "quantity_lag_30", "quantity_rolling_mean_7", "quantity_mean", "quantity_std")],
+        "product_id", "order_id", "line_no", "quantity", "month", "day", "day_of_week", "quarter", "is_weekend",
+        "quantity_min", "quantity_max", "quantity_sum", *[rnd(c, 4).alias(c) for c in (
+            "unit_price", "quantity_lag_7", "quantity_lag_30", "quantity_rolling_mean_7", "quantity_rolling_std_7",
+            "quantity_rolling_mean_30", "quantity_mean", "quantity_std", "unit_price_mean", "unit_price_std")],
         "order_id_count", "quantity_future_7d"))
 query("evaluate_rolling_mean", f"""
   s AS (SELECT *, CASE WHEN count(*) {_rows(7)} >= 7 THEN avg(quantity) {_rows(7)} ELSE 0 END AS p,

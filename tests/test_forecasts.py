@@ -140,3 +140,15 @@ def test_result_does_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", keep)
     assert results[0] == results[1] == results[2]
+
+
+def test_orders_are_judged_on_common_points():
+    """A criterion over the same points does not depend on how many rows the order itself leaves."""
+    from tallygrid.operators.fleet import seasonal_ar_fit
+    y = 50 + 10 * np.sin(np.arange(160) / 4.0) + np.random.default_rng(1).normal(size=160)
+    own = seasonal_ar_fit(y, (1, 0, 0), (0, 0, 0, 52))
+    common = seasonal_ar_fit(y, (1, 0, 0), (0, 0, 0, 52), skip=60)
+    last = own["residuals"][-100:]
+    assert common["aic"] == pytest.approx(100 * np.log(last @ last / 100) + 2 * 3)
+    with pytest.raises(ValueError, match="too few"):
+        seasonal_ar_fit(y, (1, 0, 0), (0, 0, 0, 52), skip=158)
