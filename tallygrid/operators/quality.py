@@ -35,6 +35,7 @@ class Rules:
 
 def rules_for(entity: str) -> Rules:
     """Rules of an entity; the future-date rule is added with its own moment."""
+    # The message texts that accompany each check.
     rules = {
         "customers": Rules(("customer_id",), "customer_id", "customer IDs", (
             Check("customer_name", "customer_name IS NULL", "customers with missing names", error=False),)),

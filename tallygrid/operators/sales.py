@@ -200,6 +200,7 @@ def monthly_report_advice(sales: DataFrame, products: DataFrame, year: int, mont
     def note(when: Column, kind: str, message: Column) -> Column:
         return F.when(when, F.struct(F.lit(kind).alias("type"), message.alias("message")))
 
+    # The message texts of the four notes.
     notes = F.array(
         note(profit < 0, "critical", F.concat(
             F.lit("Month operated at a loss of $"), F.format_number(money(-profit), 2),
