@@ -63,3 +63,15 @@ def test_places_in_pieces_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 777)
     parts = suffixes.anchors(data, np.array([0, 9000, 9050, len(data)]))
     assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+
+
+def test_repeats_at_the_ends_of_texts(spark, docs_of):
+    """Windows whose anchor has less than half a window beside it, down to texts of one window."""
+    dice = random.Random(11)
+    base = "".join(dice.choice("abcdefgh ") for _ in range(700))
+    docs = [(0, base)]
+    for i in range(1, 400):
+        at = dice.randint(0, 560)
+        piece = base[at:at + dice.randint(99, 140)]
+        docs.append((i, dice.choice(["", "#", "?" * 40]) + piece + dice.choice(["", "%" * 3, "!" * 70]) + (str(i) if i % 3 else "")))
+    assert run(spark, docs_of(docs)) == plain(docs)
