@@ -7,7 +7,9 @@ get equal pseudonyms under one key in every document, so they stay linked. E-mai
 fixed number format: a credential becomes a keyed digest of its length, an e-mail name one of 12 characters or more.
 
 Kinds and validation:
-* card: 13 to 19 digits, single blanks or hyphens allowed between them, Luhn check digit right, not one digit repeated
+* card: 13 to 19 digits, single blanks or hyphens allowed between them, Luhn check digit right, not one digit repeated;
+  in a longer or failing run of digits, every stretch between separators is tried from the left, the longest first, and
+  what is left of the run is searched for the other kinds
 * ssn: ddd-dd-dddd, area not 000, 666 or 9dd, group not 00, serial not 0000
 * phone: a ten-digit number with a marked area code, ``(ddd) ddd-dddd`` or ``ddd-ddd-dddd``; a leading +1 is kept
 * ip: four octets of at most 255 without leading zeros
@@ -36,10 +38,14 @@ PATTERNS = {
     "phone": r"(?:(?<![\p{L}\p{N}_+])\+1[ -]?)?(?<![\p{L}\p{N}_(])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}" + _END,
     "date": _EDGE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})" + _END,
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
-    "card": r"(?<![\p{L}\p{N}_.+-])(?:\d[ -]?){12,18}\d" + _END,
+    # a whole run of digit groups, without a group that begins an address or a date; possessive, so that long runs don't recurse
+    "card": r"(?<![\p{L}\p{N}_.+-])(?=(?:\d[ -]?){12}\d)\d++" + _END + r"(?:[ -](?!(?:\d{1,3}\.){3}\d|\d\d[./]\d\d[./]\d{4}"
+            r"|[A-Za-z0-9._%+-]{1,64}@)\d++" + _END + ")*+",
     "ip": r"(?<![\p{L}\p{N}_.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}_]|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+IN_RUNS = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "date", "ssn"))
+LONGEST_CARD = 19
 FIRST_DAY, DAY_ROWS, DAY_COLUMNS = "1900-01-01", 150, 487  # 150 * 487 days
 
 
@@ -114,14 +120,18 @@ def _only_digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def _is_card(m: Column) -> Column:
+    return _with(_only_digits(m), lambda d: F.length(d).between(13, LONGEST_CARD) & (luhn_sum(d, 1) % 10 == 0)
+                 & ~d.rlike(r"^(\d)\1*$"))
+
+
 def _card(key: str, m: Column) -> Column:
     def use(d: Column) -> Column:
         def finish(body: Column) -> Column:
             check = F.pmod(F.lit(10) - luhn_sum(body, 0) % 10, F.lit(10))
             return layout(m, F.concat(body, check.cast("string")))
         changed = _with(permuted_digits(key, "card", d.substr(F.lit(1), F.length(d) - 1)), finish)
-        good = (luhn_sum(d, 1) % 10 == 0) & ~d.rlike(r"^(\d)\1*$") & F.length(d).between(13, 19)
-        return F.when(good, changed).otherwise(m)
+        return F.when(_is_card(m), changed).otherwise(m)
     return _with(_only_digits(m), use)
 
 
@@ -206,6 +216,54 @@ def pseudonym(key: str, m: Column) -> Column:
             .when(kind == "ip", _ip(key, m)).otherwise(_card(key, m)))
 
 
+def _piece(key: str, m: Column) -> Column:
+    return F.struct(kind_of(m).alias("kind"), m.alias("value"), pseudonym(key, m).alias("pseudonym"))
+
+
+def _plain(text: Column) -> Column:
+    return F.struct(F.lit("card").alias("kind"), text.alias("value"), text.alias("pseudonym"))
+
+
+def _run_pieces(key: str, m: Column) -> Column:
+    """Pieces of a run of digit groups: the cards in it, from the left and the longest first, and the rest."""
+    def rest_pieces(rest: Column) -> Column:
+        found = F.zip_with(F.split(rest, IN_RUNS, -1), F.regexp_extract_all(rest, F.lit(IN_RUNS), F.lit(0)),
+                           lambda p, f: F.when(f.isNull(), F.array(_plain(p))).otherwise(F.array(_plain(p), _piece(key, f))))
+        return F.when(rest.rlike(IN_RUNS), F.flatten(found)).otherwise(F.array(_plain(rest)))
+
+    def use(groups: Column) -> Column:
+        def joined(first: Column, n: Column) -> Column:
+            return F.array_join(F.slice(groups, first, n), "")
+
+        def longest(i: Column) -> Column:
+            lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST_CARD), F.size(groups) - i + 1))
+            return F.array_max(F.filter(lengths, lambda n: _is_card(joined(i, n))))
+
+        def pick(state: Column, i: Column) -> Column:
+            return _with(F.when(i >= state["next"], longest(i)), lambda n: F.when(n.isNotNull(), F.struct(
+                (i + n).alias("next"), F.concat(state["cards"], F.array(F.struct(i.alias("first"), n.alias("n")))).alias("cards")))
+                .otherwise(state))
+
+        none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<first:int,n:int>>").alias("cards"))
+
+        def cut(cards: Column) -> Column:
+            def part(j: Column) -> Column:
+                begin = F.when(j == 0, F.lit(1)).otherwise(F.get(cards, j - 1)["first"] + F.get(cards, j - 1)["n"])
+                end = F.coalesce(F.get(cards, j)["first"], F.size(groups) + 1)
+                rest = _with(joined(begin, end - begin), rest_pieces)
+                card = _with(joined(end, F.get(cards, j)["n"]), lambda c: F.array(
+                    _piece(key, F.regexp_replace(c, "[ -]$", "")), _plain(F.regexp_extract(c, "[ -]?$", 0))))
+                return F.when(j < F.size(cards), F.concat(rest, card)).otherwise(rest)
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cards)), part))
+        return _with(F.aggregate(F.sequence(F.lit(1), F.size(groups)), none, pick)["cards"], cut)
+    return _with(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), use)
+
+
+def pieces(key: str, m: Column) -> Column:
+    """Structs of kind, value and pseudonym whose values make up the match; what stays is its own pseudonym."""
+    return F.when((kind_of(m) == "card") & ~_is_card(m), _run_pieces(key, m)).otherwise(F.array(_piece(key, m)))
+
+
 def pseudonymise(docs: DataFrame, text_column: str = "text", key: str = DEFAULT_KEY, found: str | None = None) -> DataFrame:
     """Rewrite ``text_column``; ``found`` names an added column with structs of kind, value and pseudonym of what was replaced.
 
@@ -213,16 +271,15 @@ def pseudonymise(docs: DataFrame, text_column: str = "text", key: str = DEFAULT_
     """
     text = F.col(text_column)
     matches = F.when(text.rlike("[0-9@\"]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    new = F.transform(F.col("_found"), lambda m: F.struct(
-        kind_of(m).alias("kind"), m.alias("value"), pseudonym(key, m).alias("pseudonym")))
+    new = F.transform(F.col("_found"), lambda m: pieces(key, m))
     parts = F.split(text, ANY, -1)
-    ends = F.concat(F.col("_new.pseudonym"), F.array(F.lit("")))
+    ends = F.concat(F.transform(F.col("_new"), lambda v: F.array_join(F.transform(v, lambda x: x["pseudonym"]), "")), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(parts, ends, lambda p, e: F.concat(p, e)), "")
     held = docs.withColumn("_found", matches).withColumn("_new", F.when(F.size("_found") > 0, new))
     rows = [F.when(F.col("_new").isNull(), text).otherwise(rebuilt).alias(c) if c == text_column else F.col(f"`{c}`")
             for c in docs.columns]
     if found:
-        changed = F.filter(F.col("_new"), lambda v: v["value"] != v["pseudonym"])
+        changed = F.filter(F.flatten("_new"), lambda v: v["value"] != v["pseudonym"])
         rows.append(F.coalesce(changed, F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")).alias(found))
     return held.select(*rows)
 

@@ -46,6 +46,22 @@ def test_equal_values_stay_linked_and_keys_differ(spark):
     assert rewrite(spark, ["a 4845168114407329"], key="other")[0] != one
 
 
+def test_values_beside_other_digits(spark):
+    """Cards beside digits that a longest run takes in, and other kinds that such a run would take in."""
+    card = "4845168114407329"
+    new = rewrite(spark, [card])[0]
+    shapes = {f"{card} 123": f"{new} 123", f"line 7 {card}": f"line 7 {new}", "12 4845 1681 1440 7329": "12 " + " ".join(new[i:i + 4] for i in range(0, 16, 4)),
+              f"{card}-2": f"{new}-2", f"{card} 12b": f"{new} 12b", f"{card} 12/27": f"{new} 12/27", f"{card} {card}": f"{new} {new}",
+              "1234 4845 1681 1440 7329": "1234 " + " ".join(new[i:i + 4] for i in range(0, 16, 4))}
+    assert rewrite(spark, list(shapes)) == list(shapes.values())
+    kinds = ["1235 123-45-6789", "12345 1234 12 97.51.17.173", "123 212-555-0199", "12345 1984-02-29", "123456 12345 31.12.1999", "123456 123456 77@x.org"]
+    alone = rewrite(spark, [k.split(" ")[-1] for k in kinds])
+    assert rewrite(spark, kinds) == [" ".join([*k.split(" ")[:-1], a]) for k, a in zip(kinds, alone)]
+    assert all(a != k.split(" ")[-1] for k, a in zip(kinds, alone))
+    long = ["1" * 100_000, "11 " * 5_000, "1-" * 20_000 + "x"]
+    assert rewrite(spark, long)[0] == long[0] and [len(t) for t in rewrite(spark, long)] == [len(t) for t in long]
+
+
 def test_all_else_stays(spark):
     texts = [None, "", "plain", "9807915762804490", "0000000000000000", "300.1.1.1 01.2.3.4", "2001-02-30 1850-01-01 13/45/2000", "000-12-1234 666-12-1234",
              "é4845168114407329", "x4845168114407329 48451681144073291234567", "1.2.3.4.5", "user@host", 'token = "short"', "\x00 $1 \\1", "a" * 200_000]
