@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, minhash, neighbours, packing, pseudonyms, sharding, suffixes, urls
+from . import chat, decontaminate, language, minhash, neighbours, packing, pseudonyms, sharding, simhash, suffixes, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sharding": sharding.op9_sharding,
     "op10_language_id": language.op10_language_id,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 ORACLES = {

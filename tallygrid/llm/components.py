@@ -30,7 +30,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         down = starred.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low"))
         small = starred.join(down, F.col("a") == F.col("n")).select("b", "low", F.explode(F.array("a", "b")).alias("x"))
         fresh = scratch.keep(_edges(small.select(F.col("x").alias("a"), F.col("low").alias("b"))), "edges")
-        state = fresh.agg(F.count(F.lit(1)), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = fresh.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(edges, starred)
         edges = fresh
         if state == seen:
