@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, minhash, neighbours, packing, pseudonyms, sharding, simhash, suffixes, urls
+from . import chat, decontaminate, language, lexical, minhash, neighbours, packing, pseudonyms, sharding, simhash, suffixes, urls, whitening
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_language_id": language.op10_language_id,
     "op11_simhash": simhash.op11_simhash,
+    "op12_lexical": lexical.op12_lexical,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
@@ -23,6 +25,7 @@ ORACLES = {
     "op3_url_filter": urls.OP3_SQL,
     "op4_neighbours": neighbours.OP4_SQL,
     "op5_minhash": minhash.OP5_SQL,
+    "op12_lexical": lexical.OP12_SQL,
 }
 
 

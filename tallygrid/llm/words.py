@@ -64,11 +64,14 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and each text's first word (one more entry at the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and each text's first word (one more entry at the end).
+
+    ``inside`` marks the bytes that words are made of; by default all but white space.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = (data != 32) & ((data < 9) | (data > 13))
+    inside = (data != 32) & ((data < 9) | (data > 13)) if inside is None else inside
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -82,10 +85,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word and each text's first word."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 20,
+                kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word and each text's first word. ``kinds`` says of each byte value whether it is in words."""
     data = lowered(data)
-    starts, ends, firsts = word_spans(data, offsets)
+    starts, ends, firsts = word_spans(data, offsets, None if kinds is None else kinds[data])
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
