@@ -20,9 +20,9 @@ that are equal to an earlier one go first: all their strings start earlier.
 5. Marks go to their documents, which are cut where they are marked.
 
 Defined cases: a null text is empty and loses nothing. Texts shorter than ``LENGTH`` bytes lose nothing. Equal strings
-are told apart by document id, then start. A row without an id is returned whole and makes nothing else a repeat. Ids
-are taken to be unique; rows that repeat both id and text get the same result. Extra columns are ignored; an empty
-table gives an empty result.
+are told apart by document id, then start; equal strings of one id and start, as in repeated rows, do not make each other
+a repeat. Rows that share an id but not the text are judged each by its own text. A row without an id is returned whole
+and makes nothing else a repeat. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import Scratch
@@ -44,6 +44,7 @@ HALF = REACH // 2
 FILTER_BITS = 27
 BROADCAST_IDS = 1_000_000  # ids of whole copies that are sent to every task; more go through a shuffled join
 WHOLE = -1  # a span that stands for the whole text
+PART_BIT = 40  # a place carries the number of its text, among those of one id, above this many bits
 PIECE, BATCH = 4 << 20, 40_000
 
 
@@ -175,11 +176,12 @@ def tuples(docs: DataFrame, spark: SparkSession, repeats: np.ndarray, longer: np
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            text_numbers = batch.column(2).to_numpy(zero_copy_only=False)
             parts = [trimmed(p) for p in surroundings(batch.column(1), shared.value[0])]
             if not sum(len(p[0]) for p in parts):
                 continue
             seed, left, right, around, row, place = (np.concatenate(c) for c in zip(*parts))
-            doc = ids[row]
+            doc, place = ids[row], place + (text_numbers[row] << PART_BIT)
             same = distinct_rows(around, left, right)
             order = np.argsort(same, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
@@ -194,7 +196,7 @@ def tuples(docs: DataFrame, spark: SparkSession, repeats: np.ndarray, longer: np
                  pa.ListArray.from_arrays(edges, pa.array(place[order], pa.int64()))],
                 names=["seed", "left", "right", "around", "docs", "places"])
 
-    return docs.where("doc_id is not null").mapInArrow(
+    return docs.where("doc_id is not null").select("doc_id", "text", "part").mapInArrow(
         gather, "seed long, left int, right int, around binary, docs array<long>, places array<long>")
 
 
@@ -247,7 +249,7 @@ def induce(around: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.nda
 
 
 def marks_of(batch: pa.Table) -> pa.Table:
-    """(doc_id, span): what is to be removed because of the tuples of whole seeds; span is start * 512 + length."""
+    """(doc_id, part, span): what is to be removed because of the tuples of whole seeds; span is start * 512 + length."""
     batch = batch.combine_chunks()
     left, right = batch["left"].to_numpy().astype(np.int64), batch["right"].to_numpy().astype(np.int64)
     around = buffers_of(batch["around"]).reshape(-1, WIDTH)
@@ -257,26 +259,30 @@ def marks_of(batch: pa.Table) -> pa.Table:
     size = np.diff(docs.offsets.to_numpy())
     owner = np.repeat(which, size)
     doc, place = docs.flatten().to_numpy(), places.flatten().to_numpy()
+    part, place = place >> PART_BIT, place & ((1 << PART_BIT) - 1)
+    # equal (id, start) of several rows are one place: none of them is later than the other
     by = np.lexsort((place, doc))
+    fresh = np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])])
     order = np.empty(len(by), np.int64)
-    order[by] = np.arange(len(by))
+    order[by] = fresh.cumsum()
     rank = np.full(len(head), np.iinfo(np.int64).max)
     np.minimum.at(rank, owner, order)
     left, right = left[head], right[head]
     flags = induce(around[head], left, right, rank)
     # a later place of equal surroundings repeats every string that fits
-    later = order != rank[owner]
+    later = order > rank[owner]
     near, far = np.maximum(LENGTH - right[owner], 0), left[owner]
     use = later & (far >= near)
-    spans = [(doc[use], place[use] - far[use], far[use] - near[use] + LENGTH)]
+    spans = [(doc[use], part[use], place[use] - far[use], far[use] - near[use] + LENGTH)]
     # the first place repeats the strings that were marked, in runs of neighbouring starts
-    edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    first = np.flatnonzero(~later)
+    edge = np.diff(np.pad(flags[owner[first]], ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, lo = np.nonzero(edge == 1)
     _, hi = np.nonzero(edge == -1)
-    first = by[rank]
-    spans.append((doc[first][row], place[first][row] - hi + 1, hi - 1 - lo + LENGTH))
-    doc, start, length = (np.concatenate(c) for c in zip(*spans))
-    return pa.table({"doc_id": doc, "span": start * 512 + length})
+    at = first[row]
+    spans.append((doc[at], part[at], place[at] - hi + 1, hi - 1 - lo + LENGTH))
+    doc, part, start, length = (np.concatenate(c) for c in zip(*spans))
+    return pa.table({"doc_id": doc, "part": part, "span": start * 512 + length})
 
 
 def buffers_of(column: pa.ChunkedArray) -> np.ndarray:
@@ -285,7 +291,7 @@ def buffers_of(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def repeat_marks(tuples_: DataFrame) -> DataFrame:
-    """(doc_id, span) of everything to remove, from tuples dealt and sorted by seed."""
+    """(doc_id, part, span) of everything to remove, from tuples dealt and sorted by seed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -308,29 +314,60 @@ def repeat_marks(tuples_: DataFrame) -> DataFrame:
         if held:
             yield from settle(pa.Table.from_batches(held))
 
-    return tuples_.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, "doc_id long, span long")
+    return tuples_.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, "doc_id long, part long, span long")
 
 
-def whole_copies(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id) of the documents whose text is that of a smaller id."""
-    keyed = scratch.keep(texts.where("doc_id is not null").select(
-        "doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("k")), "keyed")
+def text_keys(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k, part) of every row with an id, and (doc_id, k, part) of those whose id has several texts.
+
+    ``k`` names the text, ``part`` numbers the texts of one id from 0.
+    """
+    keyed = scratch.keep(texts.where("doc_id is not null").select("doc_id", text_key(F.col("text")).alias("k")), "keyed")
+    shared = keyed.groupBy("doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("doc_id")
+    numbered = keyed.join(shared, "doc_id", "left_semi").distinct().withColumn(
+        "part", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")).cast("long") - 1)
+    several = scratch.keep(numbered.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "part"), "several")
+    if several.isEmpty():
+        return keyed.withColumn("part", F.lit(0).cast("long")), several
+    found = keyed.join(several, (F.col("doc_id") == F.col("_id")) & (F.col("k") == F.col("_k")), "left")
+    return found.select("doc_id", "k", F.coalesce("part", F.lit(0)).alias("part")), several
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def with_part(texts: DataFrame, several: DataFrame) -> DataFrame:
+    """Add ``part`` to (doc_id, text); only texts of ids with several texts are named for it."""
+    if several.isEmpty():
+        return texts.withColumn("part", F.lit(0).cast("long"))
+    ids = several.select(F.col("_id").alias("_shared")).distinct()
+    named = texts.join(ids, F.col("doc_id") == F.col("_shared"), "left").withColumn(
+        "k", F.when(F.col("_shared").isNotNull(), text_key(F.col("text"))))
+    found = named.join(several, (F.col("doc_id") == F.col("_id")) & (F.col("k") == F.col("_k")), "left")
+    return found.select("doc_id", "text", F.coalesce("part", F.lit(0)).alias("part"))
+
+
+def whole_copies(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, part) of the texts that a smaller id has too."""
     groups = keyed.groupBy(F.col("k").alias("_k")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return scratch.keep(keyed.join(groups, F.col("k") == F.col("_k")).where("doc_id > low").select("doc_id").distinct(), "copies")
+    return scratch.keep(keyed.join(groups, F.col("k") == F.col("_k")).where("doc_id > low").select("doc_id", "part").distinct(), "copies")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text bytes kept, n_bytes, n_removed, n_spans) of every document."""
     scratch = Scratch(spark, "suffixes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    copies = whole_copies(texts, scratch)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed, several = text_keys(plain, scratch)
+    texts = with_part(plain, several)
+    copies = whole_copies(keyed, scratch)
     marked = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    first = texts.where("doc_id is not null").join(marked, "doc_id", "left_anti")
+    first = texts.where("doc_id is not null").join(marked, ["doc_id", "part"], "left_anti")
     repeats = repeat_filter(seed_counts(first))
     longer = repeat_filter(side_counts(first, spark, repeats))
-    marks = repeat_marks(tuples(first, spark, repeats, longer)).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    marks = marks.unionByName(copies.select("doc_id", F.array(F.lit(WHOLE).cast("long")).alias("spans")))
-    marks = scratch.keep(marks.withColumnRenamed("doc_id", "_id"), "marks")
+    marks = repeat_marks(tuples(first, spark, repeats, longer)).groupBy("doc_id", "part").agg(F.collect_list("span").alias("spans"))
+    marks = marks.unionByName(copies.select("doc_id", "part", F.array(F.lit(WHOLE).cast("long")).alias("spans")))
+    marks = scratch.keep(marks.select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), "spans"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +392,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs)],
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = texts.join(marks, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
+    joined = texts.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("part") == F.col("_part")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
