@@ -5,7 +5,7 @@ paths, doubling the reach of every join, so a path of n messages takes log2(n) j
 score and each chosen path is formatted as one conversation with the code-point spans that carry loss.
 
 Defined cases: a null text is empty, a null role is an empty role, a null score counts 0. A message whose parent
-is null or absent is a root. Messages on a cycle have no root and are left out. Ties in score go to the smaller
+is null or absent is a root. Messages on a cycle, and those whose answers lead into one, have no root and are left out. Ties in score go to the smaller
 leaf. A null tree id is a tree of its own. Rows that repeat a (tree, node) are one message: the smallest
 (role, text) is kept. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -49,7 +49,8 @@ def unescape_role(role: Column) -> Column:
 def conversation_messages(rows: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as reply trees: each row answers the one before it."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return (rows.select("conv_id", "turn", "role", "text")
+    empty = F.lit("")
+    return (rows.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
             .withColumn("node", F.row_number().over(order).cast("long"))
             .select(F.col("conv_id").alias("tree"), "node",
                     F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
@@ -83,7 +84,9 @@ def branch_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
         paths, links, step = longer, reach, step * 2
         if links.isEmpty():
             break
-    return paths
+    # a link that reaches further than the tree has messages leads into a cycle
+    endless = links.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
+    return paths.join(endless, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("leaf") == F.col("_n")), "left_anti")
 
 
 def format_trees(spark: SparkSession, messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -105,7 +108,6 @@ def format_trees(spark: SparkSession, messages: DataFrame, branches: int = 1) ->
     turns = scratch.keep(
         paths.join(right, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
         .select("tree", "leaf", "up", "role", "text", "score"), "turns")
-    # only paths that reach a root: a cycle has neither leaf nor root, so every path from a leaf does
     ranked = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"))
     best = (ranked.withColumn("branch", F.row_number().over(
         Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))

@@ -45,6 +45,21 @@ def test_edge_rows(spark):
     assert run(spark, []) == {}
 
 
+def test_branches_that_hang_on_a_cycle(spark):
+    """No path of them reaches a root, whatever its length."""
+    chain = [(1, k, k - 1, "user", f"m{k}", 9.0) for k in range(3, 9)]
+    rows = [(1, 1, 2, "user", "A", 0.0), (1, 2, 1, "user", "B", 0.0), *chain, (1, 20, None, "user", "root", 0.0), (1, 21, 20, "assistant", "leaf", 0.0),
+            (2, 1, 1, "user", "answers itself", 0.0), (2, 2, 1, "user", "tail", 0.0), (3, 1, 1, "user", "alone", 0.0)]
+    out = run(spark, rows, branches=5)
+    assert set(out) == {(1, 21)} and [t["text"] for t in out[1, 21]["turns"]] == ["root", "leaf"]
+
+
+def test_null_and_empty_roles_of_one_turn(spark):
+    rows = spark.createDataFrame([(1, 0, "", "b"), (1, 0, None, "a"), (1, 0, "", None)], "conv_id long, turn long, role string, text string")
+    out = chat.format_trees(spark, chat.conversation_messages(rows)).withColumn("turns", chat.read_turns(F.col("formatted"))).first()
+    assert [(t["role"], t["text"]) for t in out["turns"]] == [("", ""), ("", "a"), ("", "b")]
+
+
 def test_long_chain_and_conversations(spark):
     frame = spark.range(700).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"),
                                     F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit(0).alias("node"))
