@@ -44,6 +44,71 @@ def test_groups_that_fit_are_whole(spark, docs_of):
         assert [p for p in parts] == [(m, [125] * (m // 125) + [m % 125] * (m % 125 > 0)) for m in sizes]
 
 
+def test_groups_come_together_by_propagation(spark):
+    """On the sample documents small groups start by hash, moves are admitted, and groups that fit end whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    journal = []
+    rows = sharding.shard_documents(spark, docs, journal=journal).collect()
+    assert len(rows) == docs.count()
+    requests, moves = map(sum, zip(*journal))
+    assert moves > 100 and requests >= moves
+    several = [g for g in check(rows).values() if sum(g.values()) > 1]
+    assert len(several) > 50 and all(len(g) == 1 for g in several if sum(g.values()) <= len(rows) // 8)
+
+
+def test_near_copies_are_drawn_together(spark, docs_of):
+    """Families of near copies, without an equal text among them, end on one shard; loose texts fill up."""
+    dice = np.random.default_rng(8)
+    docs = []
+    for family in range(40):
+        words = [f"w{x}" for x in dice.integers(0, 10**6, 80)]
+        for copy in range(5):
+            docs.append((family, " ".join(words[:70 + copy * 2])))
+    docs += [(-1, " ".join(f"w{x}" for x in dice.integers(0, 10**6, 30))) for _ in range(200)]
+    order = dice.permutation(len(docs))
+    rows = sharding.shard_documents(spark, docs_of([(int(k), docs[k][1]) for k in order])).collect()
+    check(rows)
+    shards = defaultdict(set)
+    for r in rows:
+        if docs[r["doc_id"]][0] >= 0:
+            shards[docs[r["doc_id"]][0]].add(r["shard"])
+    assert sum(len(s) == 1 for s in shards.values()) >= 36
+
+
+def plain_admit(requests, held, capacity):
+    """The quota rule one request at a time: swaps first, then moves into what room is left, the highest order first."""
+    shards = len(held)
+    total = requests.sum(axis=2)
+    allowed = [[min(int(total[a, b]), int(total[b, a])) for b in range(shards)] for a in range(shards)]
+    room = [max(capacity - int(h), 0) for h in held]
+    for to in range(shards):
+        left = [(int(total[a, to]) - allowed[a][to], a) for a in range(shards)]
+        for more, a in sorted(left, key=lambda x: (-x[0], x[1])):
+            n = min(room[to], more)
+            allowed[a][to] += n
+            room[to] -= n
+    moved = np.zeros((shards, shards), int)
+    for a in range(shards):
+        for b in range(shards):
+            for number in range(requests.shape[2] - 1, -1, -1):
+                n = int(requests[a, b, number])
+                if moved[a, b] + n > allowed[a][b]:
+                    break
+                moved[a, b] += n
+    return moved
+
+
+def test_admission_agrees_with_brute_force():
+    dice = np.random.default_rng(21)
+    for _ in range(30):
+        shards = int(dice.integers(2, 6))
+        requests = dice.integers(0, 4, (shards, shards, 32)) * (1 - np.eye(shards, dtype=int))[:, :, None]
+        held, capacity = dice.integers(50, 400, shards), int(dice.integers(100, 400))
+        least = sharding._admit(requests, held, capacity)
+        moved = np.array([[requests[i, j, least[i, j]:].sum() for j in range(shards)] for i in range(shards)])
+        assert np.array_equal(moved, plain_admit(requests, held, capacity))
+
+
 def test_plan_places_every_member_once():
     dice = np.random.default_rng(5)
     for _ in range(50):
@@ -83,7 +148,7 @@ def test_communities_of_a_graph(spark, shards):
     cut = sum(labels[a] != labels[b] for a, b in edges)
     assert max(Counter(labels.values()).values()) <= 2 * n // shards + 40
     start = 1 - 1 / shards  # expected share of cut edges at random
-    assert cut < start * len(edges)
+    assert cut < start * len(edges) and (shards != 2 or cut == 5)
 
 
 def test_quotas_hold():
