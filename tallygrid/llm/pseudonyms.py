@@ -10,7 +10,7 @@ Kinds and validation:
 * card: 13 to 19 digits, single blanks or hyphens allowed between them, Luhn check digit right, not one digit repeated;
   in a longer or failing run of digits, every stretch between separators is tried from the left, the longest first, and
   what is left of the run is searched for the other kinds
-* ssn: ddd-dd-dddd, area not 000, 666 or 9dd, group not 00, serial not 0000
+* ssn: ddd-dd-dddd, area not 000, 666 or 9dd, group not 00, serial not 0000; the valid numbers are permuted among themselves
 * phone: a ten-digit number with a marked area code, ``(ddd) ddd-dddd`` or ``ddd-ddd-dddd``; a leading +1 is kept
 * ip: four octets of at most 255 without leading zeros
 * date: yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy, a real day from 1900-01-01 to 2100-01-01
@@ -19,7 +19,11 @@ Kinds and validation:
 
 Defined cases: a null text stays null, an empty text stays empty; text without such values comes back unchanged,
 byte for byte. Values that fail validation are left alone. Repeated rows are each rewritten. Extra columns are
-kept; the text column is replaced in place. An empty table gives an empty result.
+kept, whatever their names; the text column is replaced in place. An empty table gives an empty result.
+
+The key is a secret: whoever has it can turn pseudonyms back. It is given by the caller or by the session's setting
+``spark.tallygrid.pseudonymKey``; without either, ``pseudonymise`` fails. Only the registered queries, which must run on
+any session, fall back to ``SAMPLE_KEY``, which protects nothing.
 """
 
 from __future__ import annotations
@@ -27,8 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import free_name
+
 ROUNDS = 10
-DEFAULT_KEY = "corpus-release-1"
+KEY_SETTING = "spark.tallygrid.pseudonymKey"
+SAMPLE_KEY = "known to all: for sample data only"
 
 # Digits, and letters of any alphabet, on either side would make a value part of something longer.
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -46,6 +53,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 IN_RUNS = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "date", "ssn"))
 LONGEST_CARD = 19
+SSN_AREAS = 898  # 001 to 899 without 666
 FIRST_DAY, DAY_ROWS, DAY_COLUMNS = "1900-01-01", 150, 487  # 150 * 487 days
 
 
@@ -137,7 +145,17 @@ def _card(key: str, m: Column) -> Column:
 
 def _ssn(key: str, m: Column) -> Column:
     good = ~m.rlike(r"^(?:000|666|9\d\d)|-00-|-0000$")
-    return F.when(good, layout(m, permuted_digits(key, "ssn", _only_digits(m)))).otherwise(m)
+    area, group, serial = (F.try_to_number(m.substr(lo, n), F.lit("9" * n)).cast("long") for lo, n in ((1, 3), (5, 2), (8, 4)))
+    # valid numbers are ranked, the ranks permuted, and the new rank read as a number
+    rank = F.struct((area - F.when(area > 666, 2).otherwise(1)).alias("l"), ((group - 1) * 9999 + serial - 1).alias("r"))
+
+    def use(own: Column) -> Column:
+        def show(h: Column) -> Column:
+            to = h["l"] + F.when(h["l"] >= 665, 2).otherwise(1)
+            return F.concat(F.lpad(to.cast("string"), 3, "0"), F.lit("-"), F.lpad((F.floor(h["r"] / 9999) + 1).cast("string"), 2, "0"),
+                            F.lit("-"), F.lpad((h["r"] % 9999 + 1).cast("string"), 4, "0"))
+        return _with(feistel(key, "ssn", own["l"], own["r"], F.lit(SSN_AREAS).cast("long"), F.lit(99 * 9999).cast("long")), show)
+    return F.when(good, _with(rank, use)).otherwise(m)
 
 
 def _phone(key: str, m: Column) -> Column:
@@ -264,22 +282,32 @@ def pieces(key: str, m: Column) -> Column:
     return F.when((kind_of(m) == "card") & ~_is_card(m), _run_pieces(key, m)).otherwise(F.array(_piece(key, m)))
 
 
-def pseudonymise(docs: DataFrame, text_column: str = "text", key: str = DEFAULT_KEY, found: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> str | None:
+    return spark.conf.get(KEY_SETTING, None) or None
+
+
+def pseudonymise(docs: DataFrame, text_column: str = "text", key: str | None = None, found: str | None = None) -> DataFrame:
     """Rewrite ``text_column``; ``found`` names an added column with structs of kind, value and pseudonym of what was replaced.
 
     No shuffle: every row is rewritten where it is read. Texts are matched once, and only rows with a match are rebuilt.
     """
-    text = F.col(text_column)
+    key = key or session_key(docs.sparkSession)
+    if not key:
+        raise ValueError(f"give a secret key, or set {KEY_SETTING}")
+    if found and found in docs.columns:
+        raise ValueError(f"docs has a column {found}; name the added column otherwise")
+    matched, made = free_name(docs.columns, "_found"), free_name(docs.columns, "_new")
+    text = F.col(f"`{text_column}`")
     matches = F.when(text.rlike("[0-9@\"]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    new = F.transform(F.col("_found"), lambda m: pieces(key, m))
+    new = F.transform(F.col(f"`{matched}`"), lambda m: pieces(key, m))
     parts = F.split(text, ANY, -1)
-    ends = F.concat(F.transform(F.col("_new"), lambda v: F.array_join(F.transform(v, lambda x: x["pseudonym"]), "")), F.array(F.lit("")))
+    ends = F.concat(F.transform(F.col(f"`{made}`"), lambda v: F.array_join(F.transform(v, lambda x: x["pseudonym"]), "")), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(parts, ends, lambda p, e: F.concat(p, e)), "")
-    held = docs.withColumn("_found", matches).withColumn("_new", F.when(F.size("_found") > 0, new))
-    rows = [F.when(F.col("_new").isNull(), text).otherwise(rebuilt).alias(c) if c == text_column else F.col(f"`{c}`")
+    held = docs.withColumn(matched, matches).withColumn(made, F.when(F.size(F.col(f"`{matched}`")) > 0, new))
+    rows = [F.when(F.col(f"`{made}`").isNull(), text).otherwise(rebuilt).alias(c) if c == text_column else F.col(f"`{c}`")
             for c in docs.columns]
     if found:
-        changed = F.filter(F.flatten("_new"), lambda v: v["value"] != v["pseudonym"])
+        changed = F.filter(F.flatten(F.col(f"`{made}`")), lambda v: v["value"] != v["pseudonym"])
         rows.append(F.coalesce(changed, F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")).alias(found))
     return held.select(*rows)
 
@@ -287,7 +315,7 @@ def pseudonymise(docs: DataFrame, text_column: str = "text", key: str = DEFAULT_
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Every document: its rewritten text's digest and length, and how many values of each kind were replaced."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    done = pseudonymise(docs, found="_replaced")
+    done = pseudonymise(docs, key=session_key(spark) or SAMPLE_KEY, found="_replaced")
 
     def count(kind: str) -> Column:
         return F.size(F.filter("_replaced", lambda v: v["kind"] == kind)).cast("long").alias(f"n_{kind}")

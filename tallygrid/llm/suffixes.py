@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Scratch
+from .tables import Scratch, salted_number
 from .words import BASE, INVERSE, buffers, mix, powers, slices
 
 LENGTH, SEED = 100, 38
@@ -324,8 +324,8 @@ def text_keys(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     """
     keyed = scratch.keep(texts.where("doc_id is not null").select("doc_id", text_key(F.col("text")).alias("k")), "keyed")
     shared = keyed.groupBy("doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("doc_id")
-    numbered = keyed.join(shared, "doc_id", "left_semi").distinct().withColumn(
-        "part", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")).cast("long") - 1)
+    texts_of = scratch.keep(keyed.join(shared, "doc_id", "left_semi").distinct(), "shared")
+    numbered = salted_number(texts_of, ["doc_id"], ["k"], "part").withColumn("part", F.col("part").cast("long"))
     several = scratch.keep(numbered.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "part"), "several")
     if several.isEmpty():
         return keyed.withColumn("part", F.lit(0).cast("long")), several

@@ -57,6 +57,14 @@ class Scratch:
                 target.getFileSystem(conf).delete(target, True)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, or the first longer name like it that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def salted_number(frame: DataFrame, groups: list[str], order: list[str], name: str, salts: int = 64) -> DataFrame:
     """Number rows from 0 without gaps inside each group, with a hot group spread over ``salts`` tasks.
 
