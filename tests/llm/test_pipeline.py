@@ -1,5 +1,8 @@
+import random
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid.llm import decontaminate, language, minhash, pseudonyms
 from tests.llm.test_decontaminate import plain as leaks
@@ -49,7 +52,7 @@ def test_decontamination_agrees_with_brute_force(spark, steps):
 def test_personal_data_goes(steps):
     before, after = texts(steps[3]), texts(steps[4])
     assert set(before) == set(after)
-    found = {r["doc_id"] for r in pseudonyms.pseudonymise(steps[3], found="f").where("size(f) > 0").collect()}
+    found = {r["doc_id"] for r in pseudonyms.pseudonymise(steps[3], key=pseudonyms.SAMPLE_KEY, found="f").where("size(f) > 0").collect()}
     assert {d for d in before if before[d] != after[d]} == found
 
 
@@ -71,5 +74,28 @@ def test_edges(spark, edge_docs):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0, name
 
 
+def test_texts_that_share_an_id_stay(spark):
+    """Unlike texts of one id are documents of their own; equal rows are one; a near copy goes, whatever its id."""
+    def words(seed, n=60):
+        dice = random.Random(seed)
+        return [f"w{dice.randrange(10**6)}" for _ in range(n)]
+    a, b, c = (" ".join(words(k)) for k in range(3))
+    near = " ".join(words(0)[:-1] + ["other"])
+    rows = [(1, a), (1, b), (1, b), (2, near), (3, c), (3, c + " more"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    out = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, FOLDER).collect() if r["text"])
+    assert [(i, t) for i, t in out if i != 3] == sorted([(1, a), (1, b)]) and [i for i, _ in out].count(3) == 1
+
+
+def test_names_of_working_columns_may_be_taken(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    extra = {n: F.lit(i) for i, n in enumerate(("_kept", "_lang_pred", "_lang_score", "_found", "_new", "_node_of_text", "_id", "_key", "_node"))}
+    held = docs.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        held = stage(spark, held, FOLDER)
+        assert held.columns == [*docs.columns, *extra], name
+    assert {tuple(r) for r in held.select(*extra).collect()} == {tuple(range(len(extra)))}
+
+
 def test_modules_are_those_of_the_operators():
     assert language and minhash and decontaminate and pseudonyms
