@@ -2,16 +2,19 @@
 
 A window without PARTITION BY sends every row to one task, and ``percentile``
 holds every distinct value of a group in one buffer. Both break once a result
-has more rows than one executor can take. The helpers here range-partition the
-rows, number them inside each range, and add the range offsets afterwards.
+has more rows than one executor can take. Running totals here range-partition the
+rows, number them inside each range, and add the range offsets afterwards;
+percentiles bracket the wanted ranks with sketches and sort what lies between.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import _col
 from ..session import ensure_checkpoint_dir
@@ -34,6 +37,44 @@ def materialise(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def running_in_ranges(frame: DataFrame, order: Sequence[Column], totals: dict[str, str], partitions: int) -> DataFrame:
+    """Rows sorted into ranges, with ``_range``, ``_row`` and a running sum ``_run_<name>`` inside the range.
+
+    One exchange deals and sorts the ranges. The sums are carried through each sorted partition, batch by batch, so
+    no window has to shuffle and sort the same rows by range again. A null adds nothing; a sum of nulls alone is null.
+    """
+    # the generated id is the range number and the place in it: no shuffle beyond the range one
+    placed = frame.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn(
+        "_id", F.monotonically_increasing_id())
+    kinds = {name: "long" if isinstance(frame.schema[source].dataType, T.IntegralType) else "double"
+             for name, source in totals.items()}
+    local = placed.select(*frame.columns, F.shiftright("_id", _ID_BITS).alias("_range"),
+                          (F.col("_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1)) + 1).alias("_row"),
+                          *[F.col(source).cast(kinds[name]).alias(f"_run_{name}") for name, source in totals.items()])
+    if not totals:
+        return local
+    width = len(totals)
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, seen = [0] * width, [False] * width
+        for batch in batches:
+            columns = list(batch.columns)
+            for k in range(width):
+                at = len(columns) - width + k
+                sums = columns[at].fill_null(0).to_numpy(zero_copy_only=False).copy()
+                given = columns[at].is_valid().to_numpy(zero_copy_only=False)
+                if len(sums):
+                    sums[0] += before[k]
+                    np.cumsum(sums, out=sums)
+                    before[k] = sums[-1]
+                none = np.zeros(len(sums), bool) if seen[k] else np.cumsum(given) == 0
+                seen[k] |= bool(given.any())
+                columns[at] = pa.array(sums, mask=none)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return local.mapInArrow(carry, local.schema)
+
+
 def with_running(frame: DataFrame, order_by: Sequence[Column | str], position: str | None = "position",
                  totals: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
     """Add a global 1-based row position and inclusive running sums.
@@ -46,77 +87,99 @@ def with_running(frame: DataFrame, order_by: Sequence[Column | str], position: s
     The offsets table has one row per range, which bounds the broadcast.
     """
     totals = totals or {}
-    spark = frame.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [_col(o) for o in order_by]
-
-    # the generated id is the range number and the place in it: no shuffle beyond the range one
-    placed = frame.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn(
-        "_id", F.monotonically_increasing_id())
-    local = placed.select(*frame.columns, F.shiftright("_id", _ID_BITS).alias("_range"),
-                          (F.col("_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1)) + 1).alias("_row"))
-    if totals:
-        to_here = Window.partitionBy("_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = local.select("*", *[F.sum(src).over(to_here).alias(f"_run_{name}") for name, src in totals.items()])
-    local = materialise(local)
+    count = partitions or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = materialise(running_in_ranges(frame, [_col(o) for o in order_by], totals, count))
 
+    # the last row of a range holds its totals
     sizes = local.groupBy("_range").agg(
-        F.max("_row").alias("_rows"), *[F.sum(src).alias(f"_sum_{name}") for name, src in totals.items()])
+        F.max("_row").alias("_rows"), *[F.max_by(f"_run_{name}", "_row").alias(f"_sum_{name}") for name in totals])
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in totals])
+        *[F.sum(f"_sum_{n}").over(earlier).alias(f"_off_{n}") for n in totals])
     joined = local.join(F.broadcast(offsets), "_range")
     added = [(F.col("_before") + F.col("_row")).alias(position)] if position else []
-    added += [(F.col(f"_off_{n}") + F.col(f"_run_{n}")).alias(n) for n in totals]
+    added += [F.coalesce(F.col(f"_off_{n}") + F.col(f"_run_{n}"), f"_off_{n}", f"_run_{n}").alias(n) for n in totals]
     return joined.select(*frame.columns, *added)
 
 
+# Sketch accuracy: a rank is known to within 1 / ACCURACY of a group's rows.
+ACCURACY = 10_000
+
+
+def percentile_brackets(frame: DataFrame, keys: Sequence[str], columns: Sequence[str], wanted: Sequence[float],
+                        extra: Sequence[Column] = (), accuracy: int = ACCURACY) -> DataFrame:
+    """One row per key: for each column its count and, around each wanted rank, two of its values that enclose it.
+
+    One pass with mergeable quantile sketches, combined on the map side. The sketch's rank error is at most
+    1 / accuracy of the rows, and the brackets lie twice as far out; a group too small for that is its own bracket.
+    The table is written, so that its measured size decides how it meets the facts.
+    """
+    around = [p for q in wanted for p in (max(q - 2 / accuracy, 0.0), min(q + 2 / accuracy, 1.0))]
+    sketches = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        sketches += [F.count(x).alias(f"_n_{c}"), F.min(x).alias(f"_min_{c}"), F.max(x).alias(f"_max_{c}"),
+                     F.percentile_approx(x, [float(p) for p in around], accuracy).alias(f"_at_{c}")]
+    found = frame.groupBy(*keys).agg(*sketches, *extra)
+    ends = []
+    for c in columns:
+        small = F.col(f"_n_{c}") <= 4 * accuracy
+        for k in range(len(wanted)):
+            ends += [F.when(small, F.col(f"_min_{c}")).otherwise(F.col(f"_at_{c}")[2 * k]).alias(f"_lo_{c}_{k}"),
+                     F.when(small, F.col(f"_max_{c}")).otherwise(F.col(f"_at_{c}")[2 * k + 1]).alias(f"_hi_{c}_{k}")]
+    others = [c for c in found.columns if not c.startswith(("_min_", "_max_", "_at_"))]
+    return materialise(found.select(*others, *ends))
+
+
+def percentiles_within(frame: DataFrame, brackets: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                       wanted: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated percentiles (keys, measure, wanted...) from the brackets of ``percentile_brackets``.
+
+    One scan counts the values below each bracket on the map side and passes on only those inside, as value and
+    count. These few are numbered in order, and the wanted ranks are read off.
+    """
+    keys, qs = list(keys), list(wanted.values())
+    bound = join_on(frame.select(*keys, *dict.fromkeys(c for c in columns if c not in keys)), brackets, keys)
+    cells = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        for k in range(len(qs)):
+            kind = F.when(x < F.col(f"_lo_{c}_{k}"), F.lit(0)).when(x <= F.col(f"_hi_{c}_{k}"), F.lit(1))
+            cells.append(F.struct(F.lit(c).alias("measure"), F.lit(k).alias("q"), F.col(f"_n_{c}").alias("size"),
+                                  kind.alias("kind"), F.when(kind == 1, x).alias("v")))
+    counted = (bound.select(*keys, F.explode(F.array(*cells)).alias("_c")).where("_c.kind is not null")
+               .groupBy(*keys, "_c.measure", "_c.q", "_c.size", "_c.kind", "_c.v").agg(F.count(F.lit(1)).alias("_in")))
+    counted = materialise(counted)
+
+    upto = Window.partitionBy(*keys, "measure", "q").orderBy("kind", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counted.withColumn("_last", F.sum("_in").over(upto) - 1).where("kind = 1")
+    first, last = F.col("_last") - F.col("_in") + 1, F.col("_last")
+    quantile = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("q") + 1)
+    target = quantile * (F.col("size") - 1)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((first <= place) & (place <= last), F.col("v")))
+
+    found = rows.groupBy(*keys, "measure", "q", "size").agg(at(F.floor(target)).alias("_low"), at(F.ceil(target)).alias("_high"))
+    low, high = (F.coalesce(c, F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double"))
+                 for c in (F.col("_low"), F.col("_high")))
+    value = low + (high - low) * (target - F.floor(target))
+    return found.withColumn("_value", value).groupBy(*keys, "measure").agg(
+        *[F.max(F.when(F.col("q") == k, F.col("_value"))).alias(name) for k, name in enumerate(wanted)])
+
+
 def grouped_percentiles(frame: DataFrame, keys: Sequence[str], value: str,
                         wanted: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles per key, at any group size.
+    """Exact linear-interpolated percentiles per key, at any group size: (keys, wanted...), as a written table.
 
-    Equal values are counted first, so a repeated value is one row. The counts
-    are range-partitioned and written once; range totals per key (at most one row
-    per range) show which ranges hold the wanted ranks, and only those are sorted.
+    Two map-side passes over the rows and no shuffle of them: sketches bracket the ranks, then only values inside
+    the brackets are sorted.
     """
     keys = list(keys)
-    spark = frame.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = (frame.where(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n")))
-    placed = materialise(counted.repartitionByRange(ranges, *keys, "_v").withColumn("_range", F.spark_partition_id()))
-
-    def ranks(q: float) -> tuple[Column, Column, Column]:
-        target = F.lit(float(q)) * (F.col("_size") - 1)
-        return target, F.floor(target), F.ceil(target)
-
-    by_key = Window.partitionBy(*keys)
-    earlier = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in")).select(
-        *keys, "_range", "_in", F.sum("_in").over(by_key).alias("_size"),
-        F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
-    holds = F.lit(False)
-    for q in wanted.values():
-        for place in ranks(q)[1:]:
-            holds = holds | ((place >= F.col("_before")) & (place < F.col("_before") + F.col("_in")))
-    needed = join_on(placed, totals.where(holds), [*keys, "_range"])
-    upto = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = needed.withColumn("_last", F.col("_before") + F.sum("_n").over(upto) - 1)
-    first, last = F.col("_last") - F.col("_n") + 1, F.col("_last")
-
-    picks = []
-    for name, q in wanted.items():
-        for tag, place in zip(("lo", "hi"), ranks(q)[1:]):
-            picks.append(F.max(F.when((first <= place) & (place <= last), F.col("_v"))).alias(f"_{tag}_{name}"))
-    found = rows.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
-    out = []
-    for name, q in wanted.items():
-        target, floor, _ = ranks(q)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * (target - floor)).alias(name))
-    return found.select(*keys, *out)
+    narrow = frame.select(*keys, F.col(value).alias("_x")).where(F.col("_x").isNotNull())
+    brackets = percentile_brackets(narrow, keys, ["_x"], list(wanted.values()))
+    return materialise(percentiles_within(narrow, brackets, keys, ["_x"], wanted).drop("measure"))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -152,47 +215,35 @@ def with_totals(frame: DataFrame, *totals: Column) -> DataFrame:
     return with_scalars(kept, kept.agg(*totals))
 
 
-def chunk_rows_by_day(frame: DataFrame, keys: Sequence[str], moment: str, lookback: int = 0, lookahead: int = 0,
-                      chunk_size: int = 2_000_000) -> DataFrame:
-    """Split oversized keys into day-aligned chunks for row-offset windows.
+def chunk_rows(frame: DataFrame, keys: Sequence[str], order: Sequence[str], lookback: int = 0, lookahead: int = 0,
+               chunk_size: int = 2_000_000) -> DataFrame:
+    """Split oversized keys into blocks of rows for row-offset windows, wherever in a day the cuts fall.
 
-    Adds ``_chunk`` and ``_halo``. Windows partitioned by (keys, _chunk) also see,
-    as halo rows, the days that hold the ``lookback`` rows before the chunk and
-    the ``lookahead`` rows after it; drop ``_halo`` rows after the window. A key
-    under ``chunk_size`` rows is one chunk.
+    Adds ``_chunk`` and ``_halo``. Windows partitioned by (keys, _chunk) also see, as halo rows, the ``lookback`` rows
+    before the block and the ``lookahead`` rows after it; drop ``_halo`` rows after the window. A key under
+    ``chunk_size`` rows is one block. ``order`` must tell the rows of a key apart, or ties may fall either way.
 
-    Only keys above the limit appear in the day map, so it stays small, and the
-    adaptive planner broadcasts it when its measured size allows.
+    The rows are written once as a narrow table, so each fact is scanned once. Keys above the limit are few (each has
+    more than ``chunk_size`` rows); only their rows are numbered and dealt to blocks.
     """
     if max(lookback, lookahead) > chunk_size:
         raise ValueError("lookback and lookahead must not exceed chunk_size")
     keys = list(keys)
-    day = F.to_date(moment)
-    per_day = frame.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    by_key = Window.partitionBy(*keys)
-    in_order = by_key.orderBy("_day")
-    spans = per_day.select(
-        "*", F.sum("_n").over(by_key).alias("_size"),
-        F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"))
-
-    def block(at: Column) -> Column:
-        return F.floor(at / F.lit(chunk_size)).cast("long")
-
-    hot = (spans.where(F.col("_size") > chunk_size)
-           .withColumn("_start", F.col("_end") - F.col("_n")).withColumn("_own", block(F.col("_start"))))
-    uses = [F.array("_own")]
+    stored = materialise(frame)
+    hot = materialise(stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_size)
+                      .select(*keys, F.lit(True).alias("_hot")))
+    whole = {"_chunk": F.lit(0).cast("long"), "_halo": F.lit(False)}
+    if hot.isEmpty():
+        return stored.withColumns(whole)
+    marked = join_on(stored, hot, keys, "left")
+    numbered = with_running(marked.where("_hot").drop("_hot"), [*keys, *order], "_p")
+    own, place = F.floor((F.col("_p") - 1) / chunk_size), (F.col("_p") - 1) % chunk_size
+    uses = [F.array(own)]
     if lookback:
-        # chunks of the rows that follow this day within the look-back
-        uses.append(F.array(block(F.col("_end")), block(F.col("_end") + F.lit(lookback - 1))))
+        uses.append(F.when(place >= chunk_size - lookback, F.array(own + 1)).otherwise(F.array().cast("array<long>")))
     if lookahead:
-        # chunks of the days that end within the look-ahead before this day
-        hot = hot.withColumn("_prior", F.lag("_own").over(in_order))
-        near = by_key.orderBy("_start").rangeBetween(1 - lookahead, 0)
-        hot = hot.withColumn("_ahead", F.collect_set("_prior").over(near))
-        uses.append(F.col("_ahead"))
-    hot = hot.select(*keys, "_day", "_own", F.array_distinct(F.concat(*uses)).alias("_chunks"))
-    mapped = join_on(frame.withColumn("_day", day), hot, [*keys, "_day"], "left")
-    exploded = mapped.withColumn(
-        "_chunk", F.explode(F.coalesce("_chunks", F.array(F.lit(0).cast("long")))))
-    halo = F.coalesce(F.col("_chunk") != F.col("_own"), F.lit(False))
-    return exploded.withColumn("_halo", halo).drop("_day", "_own", "_chunks")
+        uses.append(F.when(place < lookahead, F.array(own - 1)).otherwise(F.array().cast("array<long>")))
+    blocks = numbered.select("*", own.alias("_own"), F.explode(F.concat(*uses)).alias("_chunk")).withColumn(
+        "_halo", F.col("_chunk") != F.col("_own"))
+    columns = [*frame.columns, "_chunk", "_halo"]
+    return marked.where("_hot is null").withColumns(whole).select(*columns).unionByName(blocks.select(*columns))

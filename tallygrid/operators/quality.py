@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import anchor, rnd, share_of
-from .ordered import grouped_percentiles, join_on, with_scalars
+from .ordered import grouped_percentiles, join_on, materialise, with_scalars
 
 
 @dataclass(frozen=True)
@@ -193,7 +193,8 @@ def iqr_outliers(frame: DataFrame, value: str, keys: Sequence[str] = (), factor:
 def zscore_outliers(frame: DataFrame, value: str, keys: Sequence[str] = (), limit: float = 3.0) -> DataFrame:
     """Rows beyond a number of population standard deviations, counted per group."""
     x = F.col(value)
-    stats = frame.groupBy(*keys).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_std"))
+    # written first, so that the measured size of the few thresholds decides the join
+    stats = materialise(frame.groupBy(*keys).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_std")))
     z = F.when(F.col("_std") > 0, F.abs(x - F.col("_mean")) / F.col("_std"))
     return join_on(frame, stats, keys).groupBy(*keys).agg(
         rnd(F.max("_mean"), 4).alias("mean"), rnd(F.max("_std"), 4).alias("std"),

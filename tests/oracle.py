@@ -88,18 +88,19 @@ def compare(spark_df, con, sql) -> list[str]:
 def main() -> int:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
+    from tallygrid.plans.catalogue import queries as registered
     from tallygrid.plans.registry import subject_of
     from tallygrid.session import local_session
 
     parser = argparse.ArgumentParser()
     parser.add_argument("-s", "--scale", default="0.01")
-    parser.add_argument("-m", "--module")
+    parser.add_argument("-m", "--module", action="append")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = local_session("oracle")
     queries, oracles = entry.queries(), entry.oracle_sql()
     if args.module:
-        names = [n for n, q in queries.items() if subject_of(n) == args.module]
+        names = [n for n in registered() if subject_of(n) in args.module]
     else:
         names = args.names or list(queries)
     con = connect(folder(args.scale))

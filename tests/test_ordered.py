@@ -5,7 +5,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
-from tallygrid.operators.ordered import chunk_rows_by_day, grouped_percentiles, with_running
+from tallygrid.operators import ordered
+from tallygrid.operators.ordered import chunk_rows, grouped_percentiles, running_in_ranges, with_running
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 17])
@@ -37,7 +38,7 @@ def test_percentiles_match_numpy(spark, values):
 
 @pytest.mark.parametrize("chunk", [6, 10, 1000])
 def test_chunked_windows_match_plain_windows(spark, chunk):
-    # key 0 holds most rows, several on one day
+    # key 0 holds most rows, several at one time; one day holds them all
     frame = spark.range(300).select(
         F.when(F.col("id") % 4 == 0, F.col("id") % 3).otherwise(0).alias("k"), "id",
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id div 7 as int))").alias("t"))
@@ -45,7 +46,7 @@ def test_chunked_windows_match_plain_windows(spark, chunk):
     want = frame.select("id", F.lag("id", 5).over(plain).alias("back"), F.lead("id", 6).over(plain).alias("ahead"),
                         F.sum("id").over(plain.rowsBetween(-4, 0)).alias("s"))
     cut = Window.partitionBy("k", "_chunk").orderBy("t", "id")
-    got = (chunk_rows_by_day(frame, ["k"], "t", 5, 6, chunk)
+    got = (chunk_rows(frame, ["k"], ["t", "id"], 5, 6, chunk)
            .select("id", "_halo", F.lag("id", 5).over(cut).alias("back"), F.lead("id", 6).over(cut).alias("ahead"),
                    F.sum("id").over(cut.rowsBetween(-4, 0)).alias("s")).where("not _halo").drop("_halo"))
     key = lambda r: r.id
@@ -54,4 +55,41 @@ def test_chunked_windows_match_plain_windows(spark, chunk):
 
 def test_chunk_must_cover_the_lookback(spark):
     with pytest.raises(ValueError):
-        chunk_rows_by_day(spark.range(1), ["id"], "id", lookback=10, chunk_size=5)
+        chunk_rows(spark.range(1), ["id"], ["id"], lookback=10, chunk_size=5)
+
+
+def test_running_totals_need_one_exchange(spark):
+    frame = spark.range(100).select("id", (F.col("id") * 0.5).alias("v"))
+    plan = running_in_ranges(frame, [F.desc("v"), F.col("id")], {"run": "v"}, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange rangepartitioning") == 1 and "Window" not in plan
+
+
+def test_running_totals_pass_over_nulls(spark):
+    frame = spark.createDataFrame([(1, None), (2, 5), (3, None), (4, 7)], "id int, v int")
+    assert [(r.id, r.run) for r in with_running(frame, ["id"], None, {"run": "v"}, 2).orderBy("id").collect()] == [(1, None), (2, 5), (3, 5), (4, 12)]
+
+
+@pytest.mark.parametrize("accuracy", [10, 100])
+def test_percentiles_from_narrow_brackets(spark, monkeypatch, accuracy):
+    """A coarse sketch: brackets leave most rows out, and the percentiles are exact all the same."""
+    frame = spark.range(6000).select((F.col("id") % 2).alias("k"), (F.xxhash64("id") % 100_000 / 7).alias("a"),
+                                     F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("b"))
+    wanted = {"q1": 0.25, "mid": 0.5, "high": 0.99, "low": 0.0, "top": 1.0}
+    brackets = ordered.percentile_brackets(frame, ["k"], ["a", "b"], list(wanted.values()), accuracy=accuracy)
+    got = {(r.k, r.measure): r for r in ordered.percentiles_within(frame, brackets, ["k"], ["a", "b"], wanted).collect()}
+    rows = frame.collect()
+    for k in (0, 1):
+        for c in ("a", "b"):
+            values = [float(r[c]) for r in rows if r.k == k and r[c] is not None]
+            for name, q in wanted.items():
+                assert got[k, c][name] == pytest.approx(np.quantile(values, q), abs=1e-9), (k, c, name)
+    inside = frame.join(brackets, "k").where(F.col("a").between(F.col("_lo_a_1"), F.col("_hi_a_1"))).count()
+    assert inside < 6000 if accuracy == 10 else inside < 1500
+
+
+def test_percentiles_need_no_shuffle_of_rows(spark):
+    """The rows' scans end in a partial aggregate: what is exchanged is what lies inside the brackets, as counts."""
+    frame = spark.range(1000).select((F.col("id") % 97).alias("x"))
+    brackets = ordered.percentile_brackets(frame, [], ["x"], [0.5])
+    plan = ordered.percentiles_within(frame, brackets, [], ["x"], {"m": 0.5})
+    assert plan.first().m == float(np.quantile([i % 97 for i in range(1000)], 0.5))
