@@ -15,6 +15,7 @@ from ..functions.columns import (anchor, days_before, delivered, effective_cost,
                                  share_of, whole_days)
 from .ordered import grouped_percentiles, materialise, with_scalars
 from .sales import dashboard_sales
+from .summary import product_days, product_summary
 
 
 def _sold_since(since: Column, kept: Column) -> Column:
@@ -160,9 +161,15 @@ def inventory_status(sales: DataFrame, products: DataFrame, as_of=None) -> DataF
 
 def product_inventory(sales: DataFrame, products: DataFrame, as_of=None) -> DataFrame:
     """Reorder view of each product."""
-    moving = products.join(stock_velocity(sales, products, 30, as_of), "product_id")
-    v = F.col("velocity")
-    return moving.select(
+    since = days_before(anchor(sales, as_of), 30)
+    return inventory_from(sales.where(not_cancelled() & (F.col("order_date") >= since))
+                          .groupBy("product_id").agg(F.sum("quantity").alias("sold")), products)
+
+
+def inventory_from(sold: DataFrame, products: DataFrame, days: int = 30) -> DataFrame:
+    """Reorder view from the units ``sold`` per product in the last days."""
+    v = rnd(F.coalesce("sold", F.lit(0)) / days, 2)
+    return products.join(sold.select("product_id", "sold"), "product_id", "left").select(
         "product_id", "product_name", "current_stock", F.col("reorder_threshold").alias("reorder_point"),
         v.alias("stock_velocity"), _stockout(F.col("current_stock"), v).alias("days_until_stockout"),
         (F.col("current_stock") <= F.col("reorder_threshold")).alias("low_stock_alert"),
@@ -210,8 +217,10 @@ def stock_ledger(movements: DataFrame, products: DataFrame, tiebreak: list[str])
     """Running stock after every movement.
 
     Two levels keep a hot product out of a single window: day totals run per
-    product (one row per day), then rows run inside their product and day.
+    product (one row per day), then rows run inside their product and day. The
+    movements are written once and read by both.
     """
+    movements = materialise(movements)
     daily = movements.groupBy("product_id", F.to_date("created_at").alias("day")).agg(F.sum("quantity").alias("net"))
     before = Window.partitionBy("product_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     opening = daily.select("product_id", "day", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("carried"))
@@ -253,9 +262,13 @@ def dead_stock_action_docs(days: Column) -> Column:
 
 def dead_stock(sales: DataFrame, products: DataFrame, threshold: int = 90, as_of=None) -> DataFrame:
     """Active stocked products never sold, or last sold before the cutoff."""
-    moment = anchor(sales, as_of)
+    return dead_from(last_sale_dates(sales), products, anchor(sales, as_of), threshold)
+
+
+def dead_from(last_sales: DataFrame, products: DataFrame, moment: Column, threshold: int = 90) -> DataFrame:
+    """Dead stock from the ``last_sale`` of each product."""
     stocked = products.where(F.col("is_active") & (F.col("current_stock") > 0))
-    joined = stocked.join(last_sale_dates(sales), "product_id", "left")
+    joined = stocked.join(last_sales.select("product_id", "last_sale"), "product_id", "left")
     idle = F.col("last_sale").isNull() | (F.col("last_sale") < days_before(moment, threshold))
     days, value = whole_days(moment, F.col("last_sale")), F.col("current_stock") * effective_cost()
     return joined.where(idle).select(
@@ -269,7 +282,13 @@ def slow_moving(sales: DataFrame, products: DataFrame, velocity_threshold: float
                 as_of=None) -> DataFrame:
     """Stocked products that sell, but below a velocity; very long cover is null."""
     sold = (sales.where(not_cancelled() & (F.col("order_date") >= days_before(anchor(sales, as_of), days)))
-            .groupBy("product_id").agg((F.sum("quantity") / days).alias("v")))
+            .groupBy("product_id").agg(F.sum("quantity").alias("sold")))
+    return slow_from(sold, products, velocity_threshold, days)
+
+
+def slow_from(sold: DataFrame, products: DataFrame, velocity_threshold: float = 0.1, days: int = 30) -> DataFrame:
+    """Slow movers from the units ``sold`` per product in the last days."""
+    sold = sold.where(F.col("sold").isNotNull()).select("product_id", (F.col("sold") / days).alias("v"))
     v = F.col("v")
     cover = F.floor(F.col("current_stock") / v).cast("long")
     return (products.where(F.col("is_active") & (F.col("current_stock") > 0)).join(sold, "product_id")
@@ -283,7 +302,10 @@ def slow_moving(sales: DataFrame, products: DataFrame, velocity_threshold: float
 
 def dead_stock_summary(sales: DataFrame, products: DataFrame, threshold: int = 90, as_of=None,
                        velocity_threshold: float = 0.1) -> DataFrame:
-    """Counts, shares and values of dead and slow stock."""
+    """Counts, shares and values of dead and slow stock, from one summary of the sales."""
+    moment = anchor(sales, as_of)
+    summary = materialise(product_summary(product_days(sales), moment))
+    products = materialise(products)
     total = products.where(F.col("is_active") & (F.col("current_stock") > 0)).agg(
         F.count(F.lit(1)).alias("total_active_products"))
 
@@ -291,8 +313,8 @@ def dead_stock_summary(sales: DataFrame, products: DataFrame, threshold: int = 9
         return frame.agg(F.count(F.lit(1)).alias(f"{tag}_count"),
                          money(F.coalesce(F.sum("stock_value"), F.lit(0.0))).alias(f"{tag}_value"))
 
-    joined = with_scalars(with_scalars(total, part(dead_stock(sales, products, threshold, as_of), "dead")),
-                          part(slow_moving(sales, products, velocity_threshold, as_of=as_of), "slow"))
+    joined = with_scalars(with_scalars(total, part(dead_from(summary, products, moment, threshold), "dead")),
+                          part(slow_from(summary, products, velocity_threshold), "slow"))
     return joined.select(
         "*", share_of(F.col("dead_count"), F.col("total_active_products"), 1).alias("dead_pct"),
         share_of(F.col("slow_count"), F.col("total_active_products"), 1).alias("slow_pct"),

@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
-from ..operators import inventory
+from ..operators import inventory, summary
+from ..operators.ordered import materialise
 from ..session import ensure_checkpoint_dir
 from ..streaming import envelope as ops, jobs, windows
 from .inventory import _DEAD, _STOCKOUT, _VELOCITY
@@ -164,14 +165,21 @@ query("analytics_events", """
     lambda t: ops.decode(ops.analytics_events(_period_summary(t), "analytics.daily_summary", ["units", "orders"]), "analytics").select(
         "event_type", "payload.period", F.to_date("payload.period_start").alias("day"),
         F.col("payload.metrics")["units"].alias("units"), F.col("payload.metrics")["orders"].alias("orders")))
+
+
+def _alert_feed(t):
+    """All alerts from one summary of the sales and one read of the products."""
+    days, products = materialise(summary.product_summary(summary.product_days(t.sales), t.as_of)), materialise(t.products)
+    return ops.alert_feed(inventory.dead_from(days, products, t.as_of), inventory.inventory_from(days, products), t.as_of)
+
+
 query("alert_feed", _DEAD + "," + _VELOCITY + f""",
   pi AS (SELECT product_id, {_STOCKOUT} AS days, current_stock <= reorder_threshold AS low,
                 greatest(reorder_quantity, CAST(floor({R('v * 30', 4)}) AS INTEGER)) AS qty FROM products JOIN velocity USING (product_id))
   SELECT 'alert.dead_stock' AS event_type, product_id::VARCHAR AS product_id, CAST(days_since_sale AS INTEGER) AS detail FROM dead
   UNION ALL SELECT 'alert.reorder_needed', product_id::VARCHAR, qty FROM pi WHERE low
   UNION ALL SELECT 'alert.stockout_risk', product_id::VARCHAR, days FROM pi WHERE days > 0 AND days <= 7""")(
-    lambda t: ops.alert_feed(inventory.dead_stock(t.sales, t.products, 90, t.as_of),
-                             inventory.product_inventory(t.sales, t.products, t.as_of), t.as_of).select(
+    lambda t: _alert_feed(t).select(
         "event_type", F.get_json_object("data", "$.product_id").alias("product_id"),
         F.coalesce(*[F.get_json_object("data", f"$.{n}") for n in ("days_since_sale", "recommended_quantity", "days_until_stockout")])
         .cast("int").alias("detail")))
@@ -281,8 +289,7 @@ def _stream_transitions(t):
     moves = _stream(t, "lineitem").select(
         F.col("l_partkey").alias("product_id"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
         (-F.col("l_quantity")).cast("int").alias("quantity"), F.col("l_shipdate").cast("timestamp").alias("changed_at"))
-    sink = jobs.stock_alert_sink(_levels(t), f"{place}/levels", f"{place}/alerts", ["order_id", "line_no", "quantity"])
-    jobs.run_available(moves, sink, f"{place}/checkpoint", "append")
+    jobs.stock_alerts(moves, _levels(t), ["order_id", "line_no", "quantity"], f"{place}/alerts", f"{place}/checkpoint")
     return _payload(t.spark.read.parquet(f"{place}/alerts"), "stock", "product_id", "previous_stock", "current_stock")
 
 

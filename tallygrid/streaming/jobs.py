@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.ordered import join_on
+from ..operators.ordered import materialise
 from . import envelope
+from .levels import keyed_state, stock_changes
 from .windows import late_events
 
 Handler = Callable[[DataFrame, int], None]
@@ -128,8 +129,10 @@ def level_changes(movements: DataFrame, levels: DataFrame, tiebreak: Sequence[st
     """Level before and after every movement, in event order, from the given opening levels.
 
     Minutes run per product first and rows run inside their minute, so a product
-    with most of the movements is spread over its minutes.
+    with most of the movements is spread over its minutes. The movements are
+    written once and read by both.
     """
+    movements = materialise(movements)
     minute = F.date_trunc("minute", "changed_at")
     per_minute = movements.groupBy("product_id", minute.alias("_m")).agg(F.sum("quantity").alias("_net"))
     earlier = Window.partitionBy("product_id").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,26 +153,13 @@ def transitions(changes: DataFrame) -> DataFrame:
     return envelope.stock_events(crossed, F.col("_kind"))
 
 
-def stock_alert_sink(levels: DataFrame, state: str, out: str, tiebreak: Sequence[str]) -> Handler:
-    """Batch sink that keeps stock levels between batches and writes transition events.
+def stock_alerts(movements: DataFrame, levels: DataFrame, tiebreak: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Write the transition events of a stream of movements, batch by batch, until nothing more is available.
 
-    The levels after a batch are a table under its id: batch n reads n - 1, so a
-    replayed batch starts from the same levels.
+    Levels are keyed engine state, so a batch touches the products that move in it and no others.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = levels if batch_id == 0 else spark.read.parquet(batch_folder(state, batch_id - 1))
-        batch.persist()
-        try:
-            events = transitions(level_changes(batch, before, tiebreak))
-            events.write.mode("overwrite").parquet(batch_folder(out, batch_id))
-            net = batch.groupBy("product_id").agg(F.sum("quantity").alias("_net"))
-            after = join_on(before, net, ["product_id"], "left").withColumn(
-                "stock", F.col("stock") + F.coalesce("_net", F.lit(0))).drop("_net")
-            after.write.mode("overwrite").parquet(batch_folder(state, batch_id))
-        finally:
-            batch.unpersist()
-    return run
+    with keyed_state(movements.sparkSession):
+        return run_available(transitions(stock_changes(movements, levels, tiebreak)), write_batches(out), checkpoint, "append")
 
 
 def late_audit_sink(path: str, delay: str, column: str = "timestamp") -> Handler:

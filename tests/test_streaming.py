@@ -70,15 +70,32 @@ def test_stock_path_low_out_replenished(spark):
         ("stock.low", 12, 10), ("stock.out", 10, 0), ("stock.replenished", 0, 50)]
 
 
-def test_stock_state_survives_batches_and_replay(spark, tmp_path):
-    sink = jobs.stock_alert_sink(levels(spark, 12), str(tmp_path / "state"), str(tmp_path / "out"), ["seq"])
-    batches = [movements(spark, [("P", -2, 0)]), movements(spark, [("P", -10, 1)]), movements(spark, [("P", 50, 2)])]
-    for i, batch in enumerate(batches):
-        sink(batch, i)
-    sink(batches[2], 2)  # the same batch again after a failure
-    kinds = [r.event_type for r in spark.read.parquet(str(tmp_path / "out")).orderBy("timestamp").collect()]
-    assert kinds == ["stock.low", "stock.out", "stock.replenished"]
-    assert spark.read.parquet(jobs.batch_folder(str(tmp_path / "state"), 2)).first().stock == 50
+def test_stock_state_survives_batches_restart_and_replay(spark, tmp_path):
+    """Levels stay between batches and runs; a batch writes the keys it touches; a replayed batch gives the same events."""
+    inbox, out, check = tmp_path / "in", str(tmp_path / "out"), tmp_path / "check"
+    known = spark.createDataFrame([("P", "Name", 10, 12), ("Q", "Other", 5, 6), ("R", "Still", 5, 100)],
+                                  "product_id string, product_name string, reorder_threshold int, stock int")
+
+    def run(rows):
+        if rows:
+            movements(spark, rows).coalesce(1).write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema(movements(spark, []).schema).parquet(str(inbox))
+        return jobs.stock_alerts(stream, known, ["seq"], out, str(check))
+
+    def events():
+        rows = envelope.decode(spark.read.parquet(out), "stock").orderBy("timestamp", "payload.product_id", F.desc("payload.previous_stock"))
+        return [(r.payload.product_id, r.event_type, r.payload.previous_stock, r.payload.current_stock) for r in rows.collect()]
+
+    run([("P", -2, 0), ("unknown", -5, 0)])
+    query = run([("P", -10, 1), ("Q", -1, 1)])
+    assert query.lastProgress["stateOperators"][0]["numRowsUpdated"] == 2
+    run([("P", 50, 2)])
+    want = [("P", "stock.low", 12, 10), ("P", "stock.out", 10, 0), ("Q", "stock.low", 6, 5), ("P", "stock.replenished", 0, 50)]
+    assert events() == want
+    (check / "commits" / "2").unlink()  # as after a failure: the last batch was planned and not committed
+    (check / "commits" / ".2.crc").unlink(missing_ok=True)
+    run([])
+    assert events() == want
 
 
 def test_failing_handler_does_not_stop_the_rest(spark):
