@@ -82,7 +82,10 @@ def forecast_linear(history: DataFrame, horizon: int = 30) -> DataFrame:
 
 def forecast_auto(history: DataFrame, horizon: int = 30) -> DataFrame:
     """Line where 14 points allow it, else the smoothed level, else the trailing mean."""
-    fits = fit_simple(history)
+    return auto_from(fit_simple(history), horizon)
+
+
+def auto_from(fits: DataFrame, horizon: int = 30) -> DataFrame:
     n = F.col("n")
     line = F.greatest(F.col("intercept") + F.col("slope") * (n - 1 + F.col("step")), F.lit(0.0))
     value = F.when(n >= 14, line).when(n >= 7, F.col("level"))
@@ -102,12 +105,16 @@ def predict_demand(history: DataFrame, horizon: int = 30, method: str = "auto")
 
 def forecast_all_simple(history: DataFrame, horizon: int = 30, band: float | None = None) -> DataFrame:
     """All three methods from one fit, in one long table, with a relative band if given."""
+    return all_simple_from(fit_simple(history), horizon, band)
+
+
+def all_simple_from(fits: DataFrame, horizon: int = 30, band: float | None = None) -> DataFrame:
     n, line = F.col("n"), F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))
     values = ((MOVING_AVERAGE, 7, F.col("trailing")), (SMOOTHING, 7, F.col("level")),
               (LINEAR, 14, F.greatest(line, F.lit(0.0))))
     models = F.array(*[F.when(n >= least, F.struct(F.lit(name).alias("model"), rnd(value, 2).alias("forecast")))
                        for name, least, value in values])
-    long = (_ahead(fit_simple(history), horizon)
+    long = (_ahead(fits, horizon)
             .select("series_id", "step", "ds", F.explode(F.filter(models, lambda m: m.isNotNull())).alias("m"))
             .select("series_id", "m.model", "step", "ds", "m.forecast"))
     if band is None:
@@ -171,18 +178,20 @@ def normal_equations(rows: DataFrame, features: Sequence[str], keys: Sequence[st
 
 
 def solve_line(p: int):
-    """Pandas UDF: (means, covariances) to (intercept, coefficients...), in batches."""
+    """Pandas UDF: (means, covariances) to (intercept, coefficients...), all series of a batch solved at once."""
+    upper = np.triu_indices(p + 1)
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(means: pd.Series, covariances: pd.Series) -> pd.Series:
-        upper = np.triu_indices(p + 1)
-        out = []
-        for mean, flat in zip(means, covariances):
-            full = np.zeros((p + 1, p + 1))
-            full[upper] = flat
-            full = full + np.triu(full, 1).T
-            slopes = np.linalg.pinv(full[:p, :p], rcond=1e-12, hermitian=True) @ full[:p, p]
-            out.append([float(mean[p] - np.dot(mean[:p], slopes)), *map(float, slopes)])
-        return pd.Series(out)
+        if not len(means):
+            return pd.Series([], dtype=object)
+        mean = np.stack(means.to_numpy()).astype(float)
+        full = np.zeros((len(mean), p + 1, p + 1))
+        full[:, upper[0], upper[1]] = np.stack(covariances.to_numpy())
+        full[:, upper[1], upper[0]] = full[:, upper[0], upper[1]]
+        slopes = np.einsum("nij,nj->ni", np.linalg.pinv(full[:, :p, :p], rcond=1e-12, hermitian=True), full[:, :p, p])
+        intercept = mean[:, p] - (mean[:, :p] * slopes).sum(axis=1)
+        return pd.Series(list(np.column_stack([intercept, slopes])))
     return solve
 
 
@@ -195,7 +204,11 @@ def fit_calendar(history: DataFrame) -> DataFrame:
 
 
 def forecast_linear_calendar(history: DataFrame, horizon: int = 7) -> DataFrame:
-    ahead = _ahead(fit_calendar(history), horizon)
+    return calendar_from(fit_calendar(history), horizon)
+
+
+def calendar_from(fits: DataFrame, horizon: int = 7) -> DataFrame:
+    ahead = _ahead(fits, horizon)
     b = [F.col("beta")[i] for i in range(4)]
     value = (b[0] + b[1] * (F.col("last_index") + F.col("step")) + b[2] * F.weekday("ds") + b[3] * F.month("ds"))
     return ahead.select("series_id", F.lit("linear_calendar").alias("model"), "step", "ds",

@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES
 
 SUBJECTS = ["sales", "inventory", "pareto", "customers", "quality", "loading", "demand",
-            "ensemble", "features", "diagnostics", "events"]
+            "ensemble", "features", "fitted", "diagnostics", "events"]
 
 
 def _load() -> None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import money, rnd, safe_cast
-from ..sources import csv_tables as raw, loading as ops, wide_orders as wide
+from ..session import ensure_checkpoint_dir
+from ..sources import csv_tables as raw, keyed, loading as ops, wide_orders as wide
 from .registry import query, rounded as R
 
 
@@ -163,12 +166,21 @@ def _versions(t):
     return stored, fresh
 
 
+def _merged(t):
+    """The stored table as folders by key, merged in place."""
+    stored, fresh = _versions(t)
+    place = f"{ensure_checkpoint_dir(t.spark)}/dimensions/{uuid.uuid4()}"
+    keyed.write_keyed(stored, place, "product_id", 16)
+    keyed.upsert_keyed(fresh, place, "product_id", "load_no")
+    return keyed.read_keyed(t.spark, place)
+
+
 query("upsert_dimensions", f"""
   n AS (SELECT product_id + CASE WHEN product_id % 2 = 0 THEN 100000 ELSE 0 END AS product_id, upper(product_name) AS product_name,
                unit_price * 2 AS unit_price, 2 AS load_no FROM catalog WHERE product_id % 3 = 0)
   SELECT product_id, product_name, {R('unit_price')} AS unit_price, load_no FROM n
   UNION ALL SELECT product_id, product_name, {R('unit_price')}, 1 FROM catalog WHERE product_id NOT IN (SELECT product_id FROM n)""")(
-    lambda t: ops.upsert(*_versions(t), "product_id", "load_no").withColumn("unit_price", money("unit_price")))
+    lambda t: _merged(t).withColumn("unit_price", money("unit_price")))
 query("attach_inventory", """
   SELECT product_id, CASE WHEN product_id % 3 = 0 THEN initial_stock ELSE initial_stock + 1 END AS initial_stock,
          CASE WHEN product_id % 3 = 0 THEN current_stock WHEN product_id % 4 = 0 THEN 0 ELSE current_stock + 2 END AS current_stock,
