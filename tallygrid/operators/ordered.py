@@ -134,7 +134,7 @@ def percentile_brackets(frame: DataFrame, keys: Sequence[str], columns: Sequence
 
 def percentiles_within(frame: DataFrame, brackets: DataFrame, keys: Sequence[str], columns: Sequence[str],
                        wanted: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles (keys, measure, wanted...) from the brackets of ``percentile_brackets``.
+    """Exact linear-interpolated percentiles (keys, _measure, wanted...) from the brackets of ``percentile_brackets``.
 
     One scan counts the values below each bracket on the map side and passes on only those inside, as value and
     count. These few are numbered in order, and the wanted ranks are read off.
@@ -146,27 +146,27 @@ def percentiles_within(frame: DataFrame, brackets: DataFrame, keys: Sequence[str
         x = F.col(c).cast("double")
         for k in range(len(qs)):
             kind = F.when(x < F.col(f"_lo_{c}_{k}"), F.lit(0)).when(x <= F.col(f"_hi_{c}_{k}"), F.lit(1))
-            cells.append(F.struct(F.lit(c).alias("measure"), F.lit(k).alias("q"), F.col(f"_n_{c}").alias("size"),
-                                  kind.alias("kind"), F.when(kind == 1, x).alias("v")))
-    counted = (bound.select(*keys, F.explode(F.array(*cells)).alias("_c")).where("_c.kind is not null")
-               .groupBy(*keys, "_c.measure", "_c.q", "_c.size", "_c.kind", "_c.v").agg(F.count(F.lit(1)).alias("_in")))
+            cells.append(F.struct(F.lit(c).alias("_measure"), F.lit(k).alias("_q"), F.col(f"_n_{c}").alias("_size"),
+                                  kind.alias("_kind"), F.when(kind == 1, x).alias("_v")))
+    counted = (bound.select(*keys, F.explode(F.array(*cells)).alias("_c")).where("_c._kind is not null")
+               .groupBy(*keys, "_c._measure", "_c._q", "_c._size", "_c._kind", "_c._v").agg(F.count(F.lit(1)).alias("_in")))
     counted = materialise(counted)
 
-    upto = Window.partitionBy(*keys, "measure", "q").orderBy("kind", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = counted.withColumn("_last", F.sum("_in").over(upto) - 1).where("kind = 1")
+    upto = Window.partitionBy(*keys, "_measure", "_q").orderBy("_kind", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counted.withColumn("_last", F.sum("_in").over(upto) - 1).where("_kind = 1")
     first, last = F.col("_last") - F.col("_in") + 1, F.col("_last")
-    quantile = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("q") + 1)
-    target = quantile * (F.col("size") - 1)
+    quantile = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_q") + 1)
+    target = quantile * (F.col("_size") - 1)
 
     def at(place: Column) -> Column:
-        return F.max(F.when((first <= place) & (place <= last), F.col("v")))
+        return F.max(F.when((first <= place) & (place <= last), F.col("_v")))
 
-    found = rows.groupBy(*keys, "measure", "q", "size").agg(at(F.floor(target)).alias("_low"), at(F.ceil(target)).alias("_high"))
+    found = rows.groupBy(*keys, "_measure", "_q", "_size").agg(at(F.floor(target)).alias("_low"), at(F.ceil(target)).alias("_high"))
     low, high = (F.coalesce(c, F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double"))
                  for c in (F.col("_low"), F.col("_high")))
     value = low + (high - low) * (target - F.floor(target))
-    return found.withColumn("_value", value).groupBy(*keys, "measure").agg(
-        *[F.max(F.when(F.col("q") == k, F.col("_value"))).alias(name) for k, name in enumerate(wanted)])
+    return found.withColumn("_value", value).groupBy(*keys, "_measure").agg(
+        *[F.max(F.when(F.col("_q") == k, F.col("_value"))).alias(name) for k, name in enumerate(wanted)])
 
 
 def grouped_percentiles(frame: DataFrame, keys: Sequence[str], value: str,
@@ -179,7 +179,7 @@ def grouped_percentiles(frame: DataFrame, keys: Sequence[str], value: str,
     keys = list(keys)
     narrow = frame.select(*keys, F.col(value).alias("_x")).where(F.col("_x").isNotNull())
     brackets = percentile_brackets(narrow, keys, ["_x"], list(wanted.values()))
-    return materialise(percentiles_within(narrow, brackets, keys, ["_x"], wanted).drop("measure"))
+    return materialise(percentiles_within(narrow, brackets, keys, ["_x"], wanted).drop("_measure"))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -383,7 +383,7 @@ def summary_stats(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
         for c in columns])
     marks = percentiles_within(frame, brackets, [], columns, wanted)
     return brackets.select(F.explode(cells).alias("c")).select("c.*").join(
-        marks.select("measure", *[rnd(c, 4).alias(c) for c in wanted]), "measure")
+        marks.select(F.col("_measure").alias("measure"), *[rnd(c, 4).alias(c) for c in wanted]), "measure")
 
 
 def correlation_matrix(frame: DataFrame, columns: Sequence[str]) -> DataFrame:

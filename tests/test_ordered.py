@@ -76,7 +76,7 @@ def test_percentiles_from_narrow_brackets(spark, monkeypatch, accuracy):
                                      F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("b"))
     wanted = {"q1": 0.25, "mid": 0.5, "high": 0.99, "low": 0.0, "top": 1.0}
     brackets = ordered.percentile_brackets(frame, ["k"], ["a", "b"], list(wanted.values()), accuracy=accuracy)
-    got = {(r.k, r.measure): r for r in ordered.percentiles_within(frame, brackets, ["k"], ["a", "b"], wanted).collect()}
+    got = {(r.k, r._measure): r for r in ordered.percentiles_within(frame, brackets, ["k"], ["a", "b"], wanted).collect()}
     rows = frame.collect()
     for k in (0, 1):
         for c in ("a", "b"):
