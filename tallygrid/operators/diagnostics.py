@@ -73,6 +73,13 @@ def ljung_box(residuals: DataFrame, lags: int = 10, value: str = "residual") ->
         "series_id", rnd("_q", 4).alias("ljung_box"), rnd(p, 6).alias("p_value"), (p > 0.05).alias("no_autocorrelation"))
 
 
+def ljung_box_of_fits(residuals: DataFrame, lags: int = 10) -> DataFrame:
+    """The portmanteau test of fitted series; one whose fit failed has nulls and the error."""
+    kept = materialise(residuals)
+    tested = ljung_box(kept.where(F.col("error").isNull()), lags).withColumn("error", F.lit(None).cast("string"))
+    return tested.unionByName(kept.where(F.col("error").isNotNull()).select("series_id", "error"), allowMissingColumns=True)
+
+
 def _moments(residuals: DataFrame, value: str) -> DataFrame:
     x = F.col(value)
     return residuals.groupBy("series_id").agg(
@@ -189,7 +196,10 @@ def _cross_products(rows: DataFrame, columns: Sequence[Column]) -> DataFrame:
 def _inverse(p: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def invert(grams: pd.Series) -> pd.Series:
-        return pd.Series([np.linalg.pinv(np.asarray(g, float).reshape(p, p), hermitian=True).ravel().tolist() for g in grams])
+        if not len(grams):
+            return pd.Series([], dtype=object)
+        stacked = np.stack(grams.to_numpy()).astype(float).reshape(-1, p, p)
+        return pd.Series(list(np.linalg.pinv(stacked, hermitian=True).reshape(-1, p * p)))
     return invert
 
 

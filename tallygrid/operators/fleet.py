@@ -144,18 +144,18 @@ def forecast_seasonal_ar(history: DataFrame, steps: int = 13, weekly: bool = Tru
 
 
 def seasonal_ar_residuals(history: DataFrame, weekly: bool = True) -> DataFrame:
-    """In-sample residuals of the seasonal fit, for the diagnostics."""
+    """In-sample residuals of the seasonal fit, for the diagnostics. A series whose fit fails is one row with the error."""
     order, seasonal = (WEEKLY_ORDER, WEEKLY_SEASONAL) if weekly else (DAILY_ORDER, DAILY_SEASONAL)
     schema = T.StructType([T.StructField("series_id", history.schema["series_id"].dataType),
-                           T.StructField("ds", T.DateType()), T.StructField("residual", T.DoubleType())])
+                           T.StructField("ds", T.DateType()), T.StructField("residual", T.DoubleType()), T.StructField("error", T.StringType())])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         try:
             residuals = seasonal_ar_fit(pdf["y"].to_numpy(float), order, seasonal)["residuals"]
-        except (ValueError, np.linalg.LinAlgError):
-            return pd.DataFrame({"series_id": [], "ds": [], "residual": []})
-        return pd.DataFrame({"series_id": key[0], "ds": pdf["ds"].to_numpy()[-len(residuals):], "residual": residuals})
+        except (ValueError, np.linalg.LinAlgError) as problem:
+            return pd.DataFrame({"series_id": [key[0]], "ds": [None], "residual": [None], "error": [str(problem)]})
+        return pd.DataFrame({"series_id": key[0], "ds": pdf["ds"].to_numpy()[-len(residuals):], "residual": residuals, "error": None})
 
     return history.select("series_id", "ds", "y").groupBy("series_id").applyInPandas(fit, schema)
 

@@ -186,4 +186,4 @@ query("qq_theoretical", _RES + f""",
   q2 AS (SELECT *, {_ENDS} AS rr, (position - 0.5::DOUBLE) * (position - 0.5::DOUBLE) AS qq FROM q1)
   SELECT series_id, i, position, value, {R(f"CASE WHEN position < {tails.QUANTILE_EDGE} THEN {_TAIL} WHEN position > 1 - {tails.QUANTILE_EDGE} THEN -({_TAIL}) ELSE {_MIDDLE} END", 4)} AS theoretical
   FROM q2""")(lambda t: ops.qq_theoretical(ops.qq_points(_residuals(t))))
-query("seasonal_ar_ljung_box")(lambda t: ops.ljung_box(fleet.seasonal_ar_residuals(_weekly(t))))
+query("seasonal_ar_ljung_box")(lambda t: ops.ljung_box_of_fits(fleet.seasonal_ar_residuals(_weekly(t))))

@@ -152,3 +152,12 @@ def test_orders_are_judged_on_common_points():
     assert common["aic"] == pytest.approx(100 * np.log(last @ last / 100) + 2 * 3)
     with pytest.raises(ValueError, match="too few"):
         seasonal_ar_fit(y, (1, 0, 0), (0, 0, 0, 52), skip=158)
+
+
+def test_series_whose_fit_fails_stay_in_the_test_of_residuals(spark):
+    from tallygrid.operators import diagnostics
+    rows = [("s", dt.date(2024, 1, 1) + dt.timedelta(days=i), i * 7 % 5 - 2.0, None) for i in range(60)] + [("bad", None, None, "too short")]
+    frame = spark.createDataFrame(rows, "series_id string, ds date, residual double, error string")
+    got = {r.series_id: r for r in diagnostics.ljung_box_of_fits(frame).collect()}
+    assert set(got) == {"s", "bad"} and got["s"].error is None and got["s"].ljung_box > 0
+    assert got["bad"].error == "too short" and got["bad"].ljung_box is None and got["bad"].no_autocorrelation is None
