@@ -156,10 +156,12 @@ def transitions(changes: DataFrame) -> DataFrame:
 def stock_alerts(movements: DataFrame, levels: DataFrame, tiebreak: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
     """Write the transition events of a stream of movements, batch by batch, until nothing more is available.
 
-    Levels are keyed engine state, so a batch touches the products that move in it and no others.
+    Levels are keyed engine state, so a batch updates the buckets of the products that move in it and no others. The
+    opening levels are written once for all batches of the run.
     """
+    opening = materialise(levels)
     with keyed_state(movements.sparkSession):
-        return run_available(transitions(stock_changes(movements, levels, tiebreak)), write_batches(out), checkpoint, "append")
+        return run_available(transitions(stock_changes(movements, opening, tiebreak)), write_batches(out), checkpoint, "append")
 
 
 def late_audit_sink(path: str, delay: str, column: str = "timestamp") -> Handler:

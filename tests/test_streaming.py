@@ -205,3 +205,24 @@ def test_weeks_start_on_monday(spark):
     frame = spark.createDataFrame([("a", "k", dt.datetime(2024, 1, 7, 23), 1.0), ("b", "k", dt.datetime(2024, 1, 8), 2.0)],
                                   "event_id string, event_type string, timestamp timestamp, value double")
     assert {(r.period_start.day, r.total) for r in windows.weekly_summary(frame).collect()} == {(1, 1.0), (8, 2.0)}
+
+
+def test_stock_levels_of_many_products_take_few_states(spark, tmp_path):
+    """Products share states by hash; later batches keep the first opening level; missing times come last."""
+    inbox, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    known = spark.range(20000).select(F.col("id").cast("string").alias("product_id"), F.lit("N").alias("product_name"),
+                                      F.lit(10).alias("reorder_threshold"), F.lit(12).alias("stock"))
+
+    def run(quantities, opening):
+        moves = spark.range(20000).select(F.col("id").cast("string").alias("product_id"), F.posexplode(F.array(*[
+            F.struct(F.lit(q).cast("int").alias("quantity"), F.lit(at).cast("timestamp").alias("changed_at")) for q, at in quantities])))
+        moves.select("product_id", "col.quantity", "col.changed_at", F.col("pos").alias("seq")).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(movements(spark, []).schema).parquet(inbox)
+        query = jobs.stock_alerts(stream, opening, ["seq"], out, check)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+
+    run([(50, None), (-2, T0)], known)
+    run([(-60, T0)], known.withColumn("stock", F.lit(500)))
+    rows = envelope.decode(spark.read.parquet(out), "stock").groupBy("event_type", "payload.previous_stock", "payload.current_stock").count()
+    assert sorted(map(tuple, rows.collect())) == [
+        ("stock.low", 12, 10, 20000), ("stock.out", 60, 0, 20000), ("stock.replenished", 10, 60, 20000)]
