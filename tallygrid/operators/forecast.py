@@ -38,6 +38,27 @@ def fit_simple(history: DataFrame, window: int = 7, alpha: float = 0.3, where: C
         F.regr_slope(y, i.cast("double")).alias("slope"), F.regr_intercept(y, i.cast("double")).alias("intercept"))
 
 
+def fit_span(points: DataFrame, window: int = 7, alpha: float = 0.3) -> DataFrame:
+    """``fit_simple`` of the daily series from each key's first to last point, without its zero rows.
+
+    ``points`` has one row per key and day with sales. A day without sales adds nothing to any sum here, and what the
+    days themselves add follows from the length, so a long span costs no more than the points in it.
+    """
+    by_series = Window.partitionBy("series_id")
+    first, last = F.min("ds").over(by_series), F.max("ds").over(by_series)
+    placed = points.select("series_id", "ds", F.col("y").cast("double").alias("y"), F.datediff("ds", first).alias("i"),
+                           (F.datediff(last, first) + 1).cast("long").alias("n"))
+    i, n, y = F.col("i"), F.col("n"), F.col("y")
+    sums = placed.groupBy("series_id").agg(
+        F.max("n").alias("n"), F.max("ds").alias("last_ds"), F.sum(F.when(i >= n - window, y)).alias("_recent"),
+        F.sum(y * smoothing_weight(i, n, alpha)).alias("level"), F.sum(y).alias("_y"), F.sum(i * y).alias("_iy"))
+    size = n.cast("double")
+    middle, spread = (size - 1) / 2, size * (size * size - 1) / 12
+    slope = F.when(n > 1, (F.col("_iy") - middle * F.col("_y")) / spread)
+    return sums.select("series_id", "n", "last_ds", (F.coalesce("_recent", F.lit(0.0)) / F.least(n, F.lit(window))).alias("trailing"),
+                       "level", slope.alias("slope"), (F.col("_y") / size - slope * middle).alias("intercept"))
+
+
 def _ahead(fits: DataFrame, horizon: int) -> DataFrame:
     steps = F.sequence(F.lit(1), F.lit(horizon))
     return fits.withColumn("step", F.explode(steps)).withColumn("ds", F.date_add("last_ds", F.col("step")))

@@ -100,7 +100,7 @@ query("forecast_auto", _recent() + "," + _FIT + "," + _ahead(30) + "," + _AUTO +
 # own spans at day grain: short and long histories take different methods
 query("forecast_auto_span", _span("product")
       + "," + _FIT + "," + _ahead(7) + "," + _AUTO + " SELECT * FROM auto")(
-    lambda t: ops.forecast_auto(demand.demand_daily_span(t.sales), 7))
+    lambda t: ops.auto_from(ops.fit_span(demand.product_points(t.sales, positive=True)), 7))
 query("forecast_totals", _recent() + "," + _FIT + "," + _ahead(30) + "," + _AUTO + f"""
   SELECT series_id, model, count(*) AS days, {R('sum(forecast)')} AS total_forecast FROM auto GROUP BY 1, 2""")(
     lambda t: ops.forecast_totals(ops.forecast_auto(_daily(t))))

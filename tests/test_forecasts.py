@@ -161,3 +161,20 @@ def test_series_whose_fit_fails_stay_in_the_test_of_residuals(spark):
     got = {r.series_id: r for r in diagnostics.ljung_box_of_fits(frame).collect()}
     assert set(got) == {"s", "bad"} and got["s"].error is None and got["s"].ljung_box > 0
     assert got["bad"].error == "too short" and got["bad"].ljung_box is None and got["bad"].no_autocorrelation is None
+
+
+def test_fits_of_spans_need_no_zero_rows(spark):
+    """Same fits as on the filled series, for a century between two sales too."""
+    import datetime as dt
+    rows = [("a", dt.date(2024, 1, d), y) for d, y in ((1, 5), (2, 0), (9, 7), (20, 3))] + [("one", dt.date(2024, 1, 1), 4)] + [
+        ("week", dt.date(2024, 1, 1), 2), ("week", dt.date(2024, 1, 8), 9), ("far", dt.date(1920, 1, 1), 8), ("far", dt.date(2024, 1, 1), 6)]
+    points = spark.createDataFrame(rows, "series_id string, ds date, y long")
+    want = {r.series_id: r for r in forecast.fit_simple(demand.fill_gaps(points)).collect()}
+    fits = forecast.fit_span(points)
+    for r in fits.collect():
+        w = want.pop(r.series_id)
+        assert (r.n, r.last_ds, r.trailing) == (w.n, w.last_ds, w.trailing)
+        for c in ("level", "slope", "intercept"):
+            assert r[c] == w[c] or abs(r[c] - w[c]) < 1e-9
+    assert not want
+    assert "explode" not in fits._jdf.queryExecution().toString().lower()
