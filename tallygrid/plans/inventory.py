@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inventory as ops
+from ..operators.ordered import dealt
 from ..operators.sales import top_products
 from .registry import query, rounded as R
 
@@ -142,7 +143,7 @@ query("apply_orders", """
 def _ledger(t):
     moves = ops.sale_movements(t.sales)
     # the test lines have no unique key: whole rows of equal keys are one movement
-    merged = moves.groupBy("product_id", "movement_type", "reason", "created_at", "order_id").agg(
+    merged = dealt(moves, t.tasks, "product_id", "order_id").groupBy("product_id", "movement_type", "reason", "created_at", "order_id").agg(
         F.sum("quantity").alias("quantity"))
     return ops.stock_ledger(merged, t.products, ["order_id"]).select(
         "product_id", "order_id", "quantity", "stock_after")
