@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from ..operators import inventory, summary
-from ..operators.ordered import materialise
+from ..operators.ordered import dealt, materialise
 from ..session import ensure_checkpoint_dir
 from ..streaming import envelope as ops, jobs, windows
 from .inventory import _DEAD, _STOCKOUT, _VELOCITY
@@ -267,7 +267,7 @@ def _levels(t):
 
 
 def _transitions(t):
-    moves = t.sales.groupBy("product_id", "order_id", F.col("order_date").alias("changed_at")).agg(
+    moves = dealt(t.sales, t.tasks, "product_id", "order_id").groupBy("product_id", "order_id", F.col("order_date").alias("changed_at")).agg(
         (-F.sum("quantity")).alias("quantity"))
     return jobs.transitions(jobs.level_changes(moves, _levels(t), ["order_id"]))
 

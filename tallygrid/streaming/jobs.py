@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.ordered import materialise
+from ..operators.ordered import dealt, materialise, tasks_for
 from . import envelope
 from .levels import keyed_state, stock_changes
 from .windows import late_events
@@ -133,17 +133,18 @@ def level_changes(movements: DataFrame, levels: DataFrame, tiebreak: Sequence[st
     written once and read by both.
     """
     movements = materialise(movements)
-    minute = F.date_trunc("minute", "changed_at")
-    per_minute = movements.groupBy("product_id", minute.alias("_m")).agg(F.sum("quantity").alias("_net"))
+    tasks = tasks_for(movements)
+    rows = dealt(movements.withColumn("_m", F.date_trunc("minute", "changed_at")), tasks, "product_id", "_m")
+    per_minute = dealt(rows.groupBy("product_id", "_m").agg(F.sum("quantity").alias("_net")), tasks, "product_id")
     earlier = Window.partitionBy("product_id").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_minute.select("product_id", "_m", F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_carried"))
+    opening = per_minute.join(levels.select("product_id", "product_name", "reorder_threshold", "stock"), "product_id").select(
+        "product_id", "_m", "product_name", "reorder_threshold",
+        (F.col("stock") + F.coalesce(F.sum("_net").over(earlier), F.lit(0))).alias("_carried"))
     inside = Window.partitionBy("product_id", "_m").orderBy("changed_at", *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    running = movements.withColumn("_m", minute).join(carried, ["product_id", "_m"]).withColumn(
-        "_moved", F.col("_carried") + F.sum("quantity").over(inside))
-    placed = running.join(levels, "product_id")
-    current = (F.col("stock") + F.col("_moved")).cast("int")
-    return placed.select(*movements.columns, "product_name", "reorder_threshold",
-                         (current - F.col("quantity")).cast("int").alias("previous_stock"), current.alias("current_stock"))
+    current = (F.col("_carried") + F.sum("quantity").over(inside)).cast("int")
+    return rows.join(opening, ["product_id", "_m"]).select(
+        *movements.columns, "product_name", "reorder_threshold",
+        (current - F.col("quantity")).cast("int").alias("previous_stock"), current.alias("current_stock"))
 
 
 def transitions(changes: DataFrame) -> DataFrame:

@@ -93,3 +93,28 @@ def test_percentiles_need_no_shuffle_of_rows(spark):
     brackets = ordered.percentile_brackets(frame, [], ["x"], [0.5])
     plan = ordered.percentiles_within(frame, brackets, [], ["x"], {"m": 0.5})
     assert plan.first().m == float(np.quantile([i % 97 for i in range(1000)], 0.5))
+
+
+def test_sorted_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch, tmp_path, sales_of, products_of):
+    """Ledgers, alerts, row windows and the lines of the test tables are dealt by their number of rows."""
+    from tallygrid.operators import features, inventory, ordered
+    from tallygrid.sources.testmap import Tables
+    from tallygrid.streaming import jobs
+    sales = sales_of([(f"P{k % 5}", f"C{k}", f"2024-01-{1 + k % 28:02d}", 1 + k % 3, 10) for k in range(60)])
+    products = products_of([(f"P{k}", 1, 1, 1, 1, True) for k in range(5)])
+    moves = sales.select("product_id", "order_id", "quantity", sales.order_date.cast("timestamp").alias("changed_at"))
+    known = products.selectExpr("product_id", "product_name", "reorder_threshold", "initial_stock AS stock")
+
+    def frames():
+        lines = Tables(spark, "/root/testdata/sf0.001").sales
+        return [inventory.stock_ledger(inventory.sale_movements(sales), products, ["order_id"]),
+                jobs.level_changes(moves, known, ["order_id"]), features.rolling_features(sales, (3,)), lines]
+
+    small = [sorted(map(str, f.collect())) for f in frames()]
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 6)
+    dealt = frames()
+    for frame in dealt[:3]:
+        assert "REPARTITION_BY_NUM" in frame._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 600)
+    assert Tables(spark, "/root/testdata/sf0.001").tasks > 4
+    assert [sorted(map(str, f.collect())) for f in dealt[:3]] == small[:3]
