@@ -131,8 +131,9 @@ query("model_monitoring_bias", _PAIRS + f"""
     lambda t: ops.forecast_bias(_pairs(t)))
 
 
-def _abc_until(t, day):
-    return pareto.abc_exact(t.sales.where(F.col("order_date") < F.lit(day).cast("timestamp_ntz")), t.catalog)
+def _abc_moves(t):
+    days = [F.lit(day).cast("timestamp_ntz") for day in ("1998-01-01", "2000-01-01")]
+    return ops.class_migration(*pareto.abc_snapshots(t.sales, t.catalog, days), "product_id", "abc_class")
 
 
 def _abc_sql(tag: str, where: str) -> str:
@@ -147,7 +148,7 @@ _MIGRATION = f"""
          {R('count(*) / sum(count(*)) OVER () * 100')} AS pct, coalesce(b.cls, '(absent)') <> coalesce(a.cls, '(absent)') AS moved
   FROM b FULL OUTER JOIN a ON a.k = b.k GROUP BY 1, 2"""
 query("abc_class_migration", _abc_sql("b", "order_date < DATE '1998-01-01'") + "," + _abc_sql("a", "order_date < DATE '2000-01-01'")
-      + _MIGRATION)(lambda t: ops.class_migration(_abc_until(t, "1998-01-01"), _abc_until(t, "2000-01-01"), "product_id", "abc_class"))
+      + _MIGRATION)(_abc_moves)
 
 
 def _rfm_until(t, day):

@@ -84,3 +84,20 @@ def test_all_revenue_zero_is_class_c(sales_of, products_of):
     assert pareto.abc_analysis(sales, products).first().abc_class == "C"
     assert pareto.pareto_check(pareto.abc_exact(sales, products)).first().top_share_pct is None
     assert cus.customer_pareto(sales).first().cumulative_pct is None
+
+
+def test_abc_snapshots_share_one_aggregation(spark, sales_of, products_of, monkeypatch):
+    from pyspark.sql import functions as F
+    from tallygrid.operators import pareto
+    sales = sales_of([("A", "x", "2024-01-01", 1, 90), ("B", "x", "2024-01-02", 1, 9), ("C", "x", "2024-01-05", 1, 500), ("Z", "x", "2024-01-01", 1, 5)])
+    products = products_of([(k, 1, 1, 1, 1, True) for k in "ABC"])
+    days = [F.lit(d).cast("timestamp_ntz") for d in ("2024-01-03", "2024-02-01")]
+    reads = []
+    build = pareto.materialise
+    monkeypatch.setattr(pareto, "materialise", lambda frame: reads.append(frame) or build(frame))
+    got = pareto.abc_snapshots(sales, products, days)
+    assert len(reads) == 1
+    for day, snapshot in zip(days, got):
+        want = pareto.abc_exact(sales.where(F.col("order_date") < day), products)
+        columns = ["product_id", "revenue", "abc_rank", "abc_cumulative_pct", "abc_class"]
+        assert sorted(snapshot.select(columns).collect()) == sorted(want.select(columns).collect())
