@@ -42,6 +42,11 @@ def abc_class(cumulative: Column, a: float = 80.0, b: float = 95.0) -> Column:
     return F.when(cumulative <= a, "A").when(cumulative <= b, "B").otherwise("C")
 
 
+def _falling(measure: str) -> list[Column | str]:
+    """Falling order of a sum. Its last bits depend on row order, so equal sums are settled first and then go by key."""
+    return [F.desc(F.round(measure, 6)), "product_id"]
+
+
 def abc_product_revenue(sales: DataFrame, products: DataFrame, only_delivered: bool = True) -> DataFrame:
     """Revenue and quantity per product; names come from the products by lookup."""
     kept = sales.where(delivered()) if only_delivered else sales
@@ -58,7 +63,7 @@ def abc_analysis(sales: DataFrame, products: DataFrame) -> DataFrame:
     totalled = with_totals(abc_product_revenue(sales, products), F.sum("total_revenue").alias("_all"))
     hundredths = F.round(rnd(F.try_divide("total_revenue", "_all") * 100, 2) * 100).cast("long")
     shared = totalled.withColumn("_h", hundredths).drop("_all")
-    ranked = with_running(shared, [F.desc("total_revenue"), "product_id"], "rank", {"_c": "_h"})
+    ranked = with_running(shared, _falling("total_revenue"), "rank", {"_c": "_h"})
     cumulative = F.col("_c") / 100
     return ranked.select(
         "product_id", "product_name", "category", money("total_revenue").alias("total_revenue"), "total_quantity",
@@ -68,7 +73,7 @@ def abc_analysis(sales: DataFrame, products: DataFrame) -> DataFrame:
 
 def _classified(base: DataFrame, measure: str, label: str, a: float = 80.0, b: float = 95.0) -> DataFrame:
     """Running share of a measure in descending order, and the class it gives."""
-    ranked = with_running(base, [F.desc(measure), "product_id"], f"{label}_rank", {"_c": measure})
+    ranked = with_running(base, _falling(measure), f"{label}_rank", {"_c": measure})
     total = ranked.agg(F.sum(measure).alias("_all"), F.count(F.lit(1)).alias("_n"))
     cumulative = F.try_divide("_c", "_all") * 100
     return with_scalars(ranked, total).select(

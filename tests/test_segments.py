@@ -101,3 +101,11 @@ def test_abc_snapshots_share_one_aggregation(spark, sales_of, products_of, monke
         want = pareto.abc_exact(sales.where(F.col("order_date") < day), products)
         columns = ["product_id", "revenue", "abc_rank", "abc_cumulative_pct", "abc_class"]
         assert sorted(snapshot.select(columns).collect()) == sorted(want.select(columns).collect())
+
+
+def test_revenue_equal_but_for_the_last_bit_ranks_by_key(sales_of, products_of):
+    # three times 0.1 is above 0.3 in the last bit of a double
+    sales = sales_of([("a", "c", "2024-01-01", 1, 0.3)] + [("b", "c", "2024-01-01", 1, 0.1)] * 3)
+    products = products_of([(p, 1, 1, 1, 1, True) for p in "ab"])
+    assert [r.product_id for r in pareto.abc_analysis(sales, products).orderBy("rank").collect()] == ["a", "b"]
+    assert [r.product_id for r in pareto.abc_exact(sales, products).orderBy("abc_rank").collect()] == ["a", "b"]
