@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.columns import money, rnd, safe_cast
+from ..operators.ordered import dealt
 from ..session import ensure_checkpoint_dir
 from ..sources import csv_tables as raw, keyed, loading as ops, wide_orders as wide
 from .registry import query, rounded as R
@@ -111,9 +112,15 @@ query("null_safe_cast", """
         F.when(F.col("order_id") % 7 == 0, "bad").otherwise((F.col("order_id") % 100).cast("string")), "int", -1).alias("number")))
 
 
-def _wide(t):
-    flat = t.sales.join(t.catalog.select("product_id", "product_name", "category", "brand"), "product_id").join(
-        t.customers.select("customer_id", "customer_name", "city", "state", "country"), "customer_id")
+def _wide(t, last="product"):
+    """The wide order table. Customers join the orders; the side that is reported joins the lines last, so its texts do
+    not travel with them, and its grouping needs no further exchange of lines."""
+    buyers = t.orders.join(t.customers.select("customer_id", "customer_name", "city", "state", "country"), "customer_id")
+    attributes = t.catalog.select("product_id", "product_name", "category", "brand")
+    sides = [("order_id", buyers), ("product_id", attributes)]
+    flat = t.order_items
+    for key, side in sides if last == "product" else sides[::-1]:
+        flat = dealt(flat, t.tasks, key).join(side, key)
     names = {"OrderID": "order_id", "OrderDate": "order_date", "CustomerID": "customer_id", "CustomerName": "customer_name",
              "ProductID": "product_id", "ProductName": "product_name", "Category": "category", "Brand": "brand",
              "Quantity": "quantity", "UnitPrice": "unit_price", "Discount": "discount", "Tax": "tax",
@@ -129,11 +136,11 @@ query("load_denormalised_products", f"""
     lambda t: wide.split_wide(_wide(t))["products"].withColumn("unit_price", rnd("unit_price", 4)))
 query("load_denormalised_customers", """
   SELECT DISTINCT customer_id, customer_name, city, state, country FROM sales JOIN customers USING (customer_id)""")(
-    lambda t: wide.split_wide(_wide(t))["customers"])
+    lambda t: wide.split_wide(_wide(t, "order"))["customers"])
 query("load_denormalised_orders", f"""
   SELECT order_status, count(*) AS rows, CAST(sum(quantity) AS BIGINT) AS units, {R('sum(total_amount)')} AS revenue
   FROM sales GROUP BY 1""")(
-    lambda t: wide.split_wide(_wide(t))["orders"].groupBy("order_status").agg(
+    lambda t: wide.split_wide(_wide(t, "order"))["orders"].groupBy("order_status").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("units"), money(F.sum("total_amount")).alias("revenue")))
 query("upload_alias_map", """
   SELECT count(*) AS records_processed, CAST(min(order_date) AS DATE) AS first_date, CAST(max(order_date) AS DATE) AS last_date,
