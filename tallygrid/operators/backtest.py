@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .demand import indexed
 from .forecast import CALENDAR_FEATURES, LINEAR, MOVING_AVERAGE, SMOOTHING, calendar_features, smape_term, solve_line
-from .ordered import materialise
+from .ordered import materialise, tasks_for
 
 CALENDAR, ENSEMBLE = "linear_calendar", "ensemble"
 ORIGINS, HORIZON, LEAST_POINTS = (30, 20, 10), 10, 45
@@ -78,17 +78,18 @@ def rolling_pairs(history: DataFrame, origins: Sequence[int] = ORIGINS, horizon:
         "series_id", "origin", "ds", "actual", "m.model", "m.predicted")
 
 
-def with_ensemble(pairs: DataFrame) -> DataFrame:
+def with_ensemble(pairs: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Add the weighted combination: a member's weight at an origin is in inverse proportion to its error at the
     origins before it, so no origin sees its own outcome. At the first origin all weigh the same."""
     kept = materialise(pairs)
-    errors = kept.groupBy("series_id", "model", "origin").agg(
-        F.sum(smape_term(F.col("actual"), F.col("predicted"), "zero")).alias("_e"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("series_id", "model").orderBy(F.desc("origin")).rowsBetween(Window.unboundedPreceding, -1)
-    smape = F.try_divide(F.sum("_e").over(before), F.sum("_n").over(before)) * 100
-    weights = errors.select(F.col("series_id").alias("_s"), F.col("model").alias("_m"), F.col("origin").alias("_o"),
-                            F.coalesce(1 / (smape + 1e-6), F.lit(1.0)).alias("weight"))
-    joined = kept.join(weights, (F.col("series_id") == F.col("_s")) & (F.col("model") == F.col("_m")) & (F.col("origin") == F.col("_o")))
-    combined = joined.groupBy("series_id", "origin", "ds", "actual").agg(
-        (F.sum(F.col("weight") * F.col("predicted")) / F.sum("weight")).alias("predicted"))
-    return kept.unionByName(combined.withColumn("model", F.lit(ENSEMBLE)))
+    # one exchange by series serves the weights, the combination and the error sums that follow
+    rows = kept.repartition(tasks_for(kept, rows_per_task), "series_id")
+    before = Window.partitionBy("series_id", "model").orderBy(F.desc("origin")).rangeBetween(Window.unboundedPreceding, -1)
+    error = F.avg(smape_term(F.col("actual"), F.col("predicted"), "zero")).over(before) * 100
+    weight = F.coalesce(1 / (error + 1e-6), F.lit(1.0))
+    combined = rows.withColumn("weight", weight).groupBy("series_id", "origin", "ds", "actual").agg(
+        (F.sum(F.col("weight") * F.col("predicted")) / F.sum("weight")).alias("_all"),
+        F.collect_list(F.struct("model", "predicted")).alias("_members"))
+    members = F.concat("_members", F.array(F.struct(F.lit(ENSEMBLE).alias("model"), F.col("_all").alias("predicted"))))
+    return combined.select("series_id", "origin", "ds", "actual", F.explode(members).alias("m")).select(
+        "series_id", "origin", "ds", "actual", "m.model", "m.predicted")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import calendar as cal
 from ..functions.columns import anchor, days_before, not_cancelled
+from .ordered import materialise, tasks_for
 
 
 def product_points(sales: DataFrame, key: str = "product_id", positive: bool = False) -> DataFrame:
@@ -43,12 +44,26 @@ def fill_gaps(points: DataFrame, first: Column | None = None, last: Column | Non
                     F.when(F.col("_day") == ds, F.col("y")).otherwise(F.lit(0)).alias("y")))
 
 
-def demand_daily(sales: DataFrame, days: int = 90, as_of=None, products: DataFrame | None = None) -> DataFrame:
-    """Daily demand from ``days`` ago to the reporting date, for keys that sold in it."""
+def dealt_by_days(points: DataFrame, days: int, rows_per_task: int | None = None) -> DataFrame:
+    """Points dealt by series to as many tasks as their rows ask for once each may have become ``days`` rows.
+
+    The planner only sees the few bytes of the points and would put them all into one task.
+    """
+    stored = materialise(points)
+    return stored.repartition(tasks_for(stored, rows_per_task, days), "series_id")
+
+
+def demand_daily(sales: DataFrame, days: int = 90, as_of=None, products: DataFrame | None = None, dealt: bool = False) -> DataFrame:
+    """Daily demand from ``days`` ago to the reporting date, for keys that sold in it.
+
+    ``dealt`` spreads the series over tasks by the rows they will have (``dealt_by_days``).
+    """
     moment = anchor(sales, as_of)
     since = days_before(moment, days)
     recent = sales.where(F.col("order_date") >= since)
     points = product_points(recent) if products is None else category_points(recent, products)
+    if dealt:
+        points = dealt_by_days(points, days + 1)
     return fill_gaps(points, F.to_date(since), F.to_date(moment))
 
 

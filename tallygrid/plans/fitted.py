@@ -103,7 +103,7 @@ _ROLLING = _points("product", "order_date >= now - INTERVAL 60 DAY") + "," + _GR
 
 
 def _rolling(t):
-    return backtest.with_ensemble(backtest.rolling_pairs(demand.demand_daily(t.sales, 60, t.as_of)))
+    return backtest.with_ensemble(backtest.rolling_pairs(demand.demand_daily(t.sales, 60, t.as_of, dealt=True)))
 
 
 query("rolling_backtest_metrics", _ROLLING + "," + _METRICS + " SELECT * FROM metrics")(

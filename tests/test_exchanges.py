@@ -29,3 +29,22 @@ def test_lines_of_the_wide_table_move_twice(spark, joins_by_exchange):
     assert "hashpartitioning(ProductID" not in products
     wide = loading._wide(Tables(spark, FOLDER), "order").groupBy("OrderID").count(), loading._wide(Tables(spark, FOLDER)).groupBy("OrderID").count()
     assert sorted(wide[0].collect()) == sorted(wide[1].collect())
+
+
+def test_series_are_dealt_by_the_days_they_fill(spark, sales_of):
+    sales = sales_of([(f"p{k}", "c", f"2024-03-{d:02}", 1, 2) for k in range(8) for d in (1, 9, 30)])
+    points = demand.product_points(sales)
+    assert demand.dealt_by_days(points, 61, 100).rdd.getNumPartitions() == 15  # 24 points of up to 61 days, 100 a task
+    plain, dealt = (demand.demand_daily(sales, 60, dealt=d) for d in (False, True))
+    assert sorted(plain.collect()) == sorted(dealt.collect()) and dealt.count() == 8 * 61
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ensemble_and_its_errors_need_one_exchange(spark, joins_by_exchange):
+    start = dt.date(2024, 1, 1)
+    pairs = spark.createDataFrame(
+        [(s, o, start + dt.timedelta(days=d), 5.0, m, 4.0 + k + d) for s in "ab" for o in (20, 10) for d in range(3) for k, m in enumerate("xy")],
+        "series_id string, origin int, ds date, actual double, model string, predicted double")
+    both = backtest.with_ensemble(pairs, 5)
+    assert both.count() == 2 * 2 * 3 * 3
+    assert plan(both).count("Exchange hashpartitioning(") == 1 and "hashpartitioning(series_id" in plan(both)
