@@ -31,6 +31,13 @@ def test_lines_of_the_wide_table_move_twice(spark, joins_by_exchange):
     assert sorted(wide[0].collect()) == sorted(wide[1].collect())
 
 
+def test_summary_reads_its_columns_from_one_join(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(sales_plans.ops, "summary_stats", lambda frame, columns: given.append(frame) or frame)
+    queries()["summary_stats"](spark, FOLDER)
+    assert not any("lineitem" in f or "orders" in f for f in given[0].inputFiles())
+
+
 def test_series_are_dealt_by_the_days_they_fill(spark, sales_of):
     sales = sales_of([(f"p{k}", "c", f"2024-03-{d:02}", 1, 2) for k in range(8) for d in (1, 9, 30)])
     points = demand.product_points(sales)
