@@ -55,3 +55,11 @@ def test_ensemble_and_its_errors_need_one_exchange(spark, joins_by_exchange):
     both = backtest.with_ensemble(pairs, 5)
     assert both.count() == 2 * 2 * 3 * 3
     assert plan(both).count("Exchange hashpartitioning(") == 1 and "hashpartitioning(series_id" in plan(both)
+
+
+def test_errors_write_only_the_columns_they_need(spark, monkeypatch):
+    given = []
+    real = training.windowed
+    monkeypatch.setattr(training, "windowed", lambda frame, *rest: given.append(frame.columns) or real(frame, *rest))
+    queries()["evaluate_rolling_mean"](spark, FOLDER)
+    assert set(given[-1]) == {"product_id", "order_date", "order_id", "line_no", "quantity", "unit_price", training.TARGET, "predicted"}
